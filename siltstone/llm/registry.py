@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import budget_mix, quality_rules
+from siltstone.llm import budget_mix, quality_rules, warc_writer
 
-MODULES = (quality_rules, budget_mix)
+MODULES = (warc_writer, quality_rules, budget_mix)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
