@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bagminhash, budget_mix, decontam_cgk, quality_rules, substring_dedup, warc_writer
+from siltstone.llm import bagminhash, budget_mix, decontam_cgk, quality_rules, secret_markov, substring_dedup, warc_writer
 
-MODULES = (warc_writer, decontam_cgk, quality_rules, substring_dedup, budget_mix, bagminhash)
+MODULES = (warc_writer, secret_markov, decontam_cgk, quality_rules, substring_dedup, budget_mix, bagminhash)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
