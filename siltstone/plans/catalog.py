@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import text_queries
+from siltstone.plans import retrieval_queries, text_queries
 
-MODULES = (text_queries,)
+MODULES = (text_queries, retrieval_queries)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
