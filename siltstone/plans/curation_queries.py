@@ -308,3 +308,20 @@ ORACLES = {
     "ses_last_turns": "WITH w AS (SELECT conv_id, turn, list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS w FROM conversations) SELECT conv_id, turn, len(w)::BIGINT AS n, md5(array_to_string(w, '|')) AS digest FROM w",
     "ses_entities": f"WITH e AS (SELECT conv_id, turn, {_case('lower(text)', rules.ENTITIES['topic'])} AS t, {_case('lower(text)', rules.ENTITIES['lang'])} AS l FROM conversations) SELECT conv_id, turn, last_value(t IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entity_topic, last_value(l IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS entity_lang FROM e",
 }
+
+_TERMS = "list_transform(regexp_extract_all(lower(text), '{0}'), lambda x: trim(x))"
+ORACLES["cls_intent_route"] = (
+    "WITH r AS (SELECT conv_id, turn, text, coalesce(" + _case("lower(text)", rules.INTENTS) + ", 'general_query') AS intent FROM conversations), t AS (SELECT *, CASE intent "
+    + " ".join(f"WHEN '{n}' THEN {_TERMS.format(p)}" for n, p in rules.INTENTS)
+    + " ELSE [] END AS l FROM r) SELECT conv_id, turn, intent, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS terms FROM t"
+)
+_LINES = r"list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '([.?!])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: true)"
+ORACLES["chk_group_faq"] = (
+    f"WITH l AS (SELECT doc_id, unnest({_LINES}) AS x, generate_subscripts({_LINES}, 1) - 1 AS pos FROM documents), m AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 3 THEN regexp_replace(x, '\\.$', '?') ELSE x END AS x FROM l), "
+    "g AS (SELECT *, sum((regexp_matches(x, '\\?[ \\t]*$') OR regexp_matches(x, '^(?i)(q|question)[:.]'))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM m) "
+    "SELECT doc_id, grp::BIGINT AS grp, count(*) AS n_lines, md5(string_agg(x, chr(10) ORDER BY pos)) AS digest FROM g GROUP BY doc_id, grp"
+)
+_ENT = "list_filter([" + _case("lower(text)", rules.ENTITIES["topic"]) + ", " + _case("lower(text)", rules.ENTITIES["lang"]) + "], lambda v: v IS NOT NULL AND NOT contains(lower(text), v))"
+_WORDS = "len(list_filter(regexp_split_to_array({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
+ORACLES["ses_augment"] = f"SELECT conv_id, turn, md5(text || ' ' || array_to_string({_ENT}, ' ')) AS digest, {_WORDS.format('substr(text, 1, 60)')} >= greatest(2, ceil(0.6::DOUBLE * {_WORDS.format('text')})) AS sane FROM conversations"
+ORACLES["emb_run"] = f"SELECT DISTINCT sha256({FLAT.format('text')}) AS hash, 384 AS dim FROM documents"

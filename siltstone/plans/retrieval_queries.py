@@ -285,3 +285,5 @@ SELECT query_id, doc_id, position, status FROM st0 WHERE position > 0""",
     "agg_primary_type": f"WITH {_BM25}, n AS (SELECT query_id, page_type, count(*) AS c, min(rank) AS r FROM rk WHERE rank <= 10 GROUP BY query_id, page_type) SELECT query_id, page_type AS primary_type FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, r) AS k FROM n) WHERE k = 1",
     "agg_answer_quality": f"WITH {_BM25}, ks AS (SELECT query_id, list_slice(list_filter(terms, lambda w, i: list_position(terms, w) = i), 1, 5) AS k FROM q), t AS (SELECT query_id, list(lower(text)) AS ts FROM rk WHERE rank <= 3 GROUP BY query_id) SELECT query_id, round(len(list_filter(k, lambda w: len(list_filter(ts, lambda x: contains(x, w))) > 0))::DOUBLE / len(k), 4) AS coverage FROM ks JOIN t USING (query_id)",
 }
+ORACLES["ans_judge_json"] = """WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN try_cast(json_extract_string(try_cast(regexp_extract(props, '(?s)\\{.*\\}') AS JSON), '$.risk') AS DOUBLE) WHEN 1 THEN (event_id % 200) / 100.0::DOUBLE END AS risk FROM events)
+SELECT event_id, greatest(0, least(1, coalesce(risk, 0)))::DOUBLE AS risk, risk IS NOT NULL AS judged, CASE WHEN event_id % 3 = 1 THEN 2 ELSE 0 END::BIGINT AS n_claims FROM s"""

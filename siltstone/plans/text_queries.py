@@ -184,3 +184,4 @@ SELECT d.doc_id, md5(coalesce(r.t, '')) AS digest, length(coalesce(r.t, ''))::BI
     "html_headings": f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda r: {_STRIP.format('r')}), lambda h: h <> ''), '~') AS headings FROM pages",
     "html_multi_article": r"SELECT page_id, len(regexp_extract_all(html, '(?i)<(article|h1)[\s>]')) > 2 AS multi_article FROM pages",
 }
+ORACLES["txt_fallback_sections"] = r"WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, count(*) AS n_sections, md5(string_agg(role || ' turn=' || regexp_replace(trim(text), '\n[ \t]*\n', chr(10), 'g'), '~' ORDER BY turn)) AS digest FROM t WHERE trim(text) <> '' GROUP BY conv_id"
