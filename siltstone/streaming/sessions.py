@@ -23,8 +23,10 @@ def read_table_stream(spark: SparkSession, path: str, schema: str, files: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def session_windows(turns: DataFrame, n: int = 6) -> DataFrame:
-    """(conv_id, turn, n_turns, last_roles): keyed state holds the last n turns of each session; state goes a day after the last turn.
+def session_windows(turns: DataFrame, n: int = 6, expire_hours: int | None = None) -> DataFrame:
+    """(conv_id, turn, n_turns, last_roles): keyed state holds the last n turns of each session.
+
+    With expire_hours, state goes so long after a session's last turn; such a stream runs on and does not end by itself.
 
     Turns of one micro-batch are taken in order of their number; a turn that comes in a later batch joins at the end.
     """
@@ -40,22 +42,28 @@ def session_windows(turns: DataFrame, n: int = 6) -> DataFrame:
             held = [*held, r.role][-n:]
             out.append((key[0], r.turn, len(held), ",".join(held)))
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if expire_hours:
+            state.setTimeoutDuration(expire_hours * 3600 * 1000)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "n_turns", "last_roles"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, n_turns long, last_roles string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, n_turns long, last_roles string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if expire_hours else GroupStateTimeout.NoTimeout)
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    """Event time as an instant; tables may hold it without a zone."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def live_entries(entries: DataFrame, late: str = "1 day") -> DataFrame:
     """The first entry of each cache key within the watermark, with the time at which it expires."""
     days = F.coalesce(F.create_map(*[x for k, v in TTL_DAYS.items() for x in (F.lit(k), F.lit(v))])[F.col("event_type")], F.lit(DEFAULT_TTL))
-    once = entries.withWatermark("ts", late).dropDuplicatesWithinWatermark(["cache_key"])
+    once = _timed(entries).withWatermark("ts", late).dropDuplicatesWithinWatermark(["cache_key"])
     return once.withColumn("expires_at", (F.unix_timestamp("ts") + days * 86400).cast("timestamp"))
 
 
 def counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events and their sum by type and window, closed by the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
