@@ -8,7 +8,8 @@ that a round has put into one class are not compared again, and rounds go on, wi
 is of one class or all its members have been hubs. Comparison is exact, on whole multisets. Thus a large group of copies costs a few
 comparisons a text, and no link between different texts that share a bucket is lost.
 
-Texts are collapsed to distinct ones first, so exact copies are one node. Null texts and texts without a word are
+Registers that put a pair far under the threshold spare it the exact comparison (DOUBT standard errors). Texts are
+collapsed to distinct ones first, so exact copies are one node, named by 64 bits. Null texts and texts without a word are
 classes of their own, one a row's doc_id. Texts of fewer words than a shingle form one shingle of all their words. Null
 doc_ids are allowed; the class is named by the smallest doc_id of its rows that is not null. Repeated rows get equal
 rows. An empty table gives an empty result; further columns are ignored.
@@ -23,11 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import PLAIN, checkpoint, gram_hashes, mix, row_groups, salted, table, text_bytes, word_hashes
+from siltstone.llm.common import PLAIN, Scratch, gram_hashes, mix, row_groups, salted, table, text_bytes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 32, 7
+#: A pair is passed over if its registers put it this many standard errors under the threshold.
+DOUBT = 4.5
+CHUNK, CHUNK_FROM = 64, 8
+#: Texts signed at once: each has some 2000 points in memory.
+GROUP_ROWS = 800
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -49,80 +55,91 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[np.nda
     return out, soff
 
 
-def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
+def _uniform(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     return ((salted(x, salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def signatures(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n_rows: int, m: int) -> np.ndarray:
     """BagMinHash registers (n_rows, m), as 64-bit marks of the earliest points, of rows of (item, integer weight > 0)."""
     total = np.bincount(row, weights=weight, minlength=n_rows)
-    marks = np.zeros((n_rows, m), np.uint64)
-    times = np.full((n_rows, m), np.inf)
+    marks = np.zeros(n_rows * m, np.uint64)
+    times = np.full(n_rows * m, np.inf)
     pending = total > 0
     # A row of n unit processes has filled its m registers by this time, or else is done again with twice the time.
-    until = np.where(pending, m * (np.log(m) + 6.0) / np.maximum(total, 1), 0.0)
+    until = np.where(pending, m * (np.log(m) + 3.0) / np.maximum(total, 1), 0.0)
     while pending.any():
-        sel = pending[row]
+        sel = slice(None) if pending.all() else pending[row]
         block = 0
         rows_, items_, weights_ = row[sel], item[sel], weight[sel]
-        found_r, found_t, found_i, found_m = [], [], [], []
+        found: list[tuple] = []
         while len(rows_):
             low = 0 if block == 0 else 1 << (block - 1)  # the block (low, low + length] of the weight axis
             length = 1 if block == 0 else 1 << (block - 1)
-            keep = weights_ > low
-            rows_, items_, weights_ = rows_[keep], items_[keep], weights_[keep]
-            base = salted(items_, 1000 + block)
-            r, t, limit = rows_, np.zeros(len(rows_)), until[rows_]
-            w, step = weights_, 0
-            while len(r):
-                t = t - np.log(_uniform(base, 3 * step)) / length
-                live = t <= limit
-                r, t, limit, base, w = r[live], t[live], limit[live], base[live], w[live]
-                mark = salted(base, 3 * step + 1)
-                counts = low + _uniform(base, 3 * step + 2) * length < w if block > 1 else np.ones(len(r), bool)
-                found_r.append(r[counts])
-                found_t.append(t[counts])
-                found_i.append((mark[counts] >> np.uint64(20)) % np.uint64(m))
-                found_m.append(mark[counts])
-                step += 1
+            if block:
+                keep = weights_ > low
+                rows_, items_, weights_ = rows_[keep], items_[keep], weights_[keep]
+            many = until[rows_] * length >= CHUNK_FROM  # short texts, whose few shingles make many points each
+            for chosen, chunk in ((~many, 1), (many, CHUNK)):
+                r, w = rows_[chosen], weights_[chosen]
+                base, limit, t, step = salted(items_[chosen], 1000 + block), until[r], 0.0, 0
+                while len(r):
+                    salts = np.arange(step, step + chunk, dtype=np.uint64) * np.uint64(3)
+                    gaps = -np.log(_uniform(base[:, None], salts)) / length
+                    times_ = (np.cumsum(gaps, axis=1) if chunk > 1 else gaps) + (t if step == 0 else t[:, None])
+                    i, k = np.nonzero(times_ <= limit[:, None])
+                    own, at = base[i], times_[i, k]
+                    mark = salted(own, salts[k] + np.uint64(1))
+                    slot = r[i] * m + ((mark >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+                    if block > 1:
+                        counts = low + _uniform(own, salts[k] + np.uint64(2)) * length < w[i]
+                        mark, slot, at = mark[counts], slot[counts], at[counts]
+                    np.minimum.at(times, slot, at)
+                    found.append((slot, at, mark))
+                    live = np.flatnonzero(times_[:, -1] <= limit)
+                    r, w, base, limit, t = r[live], w[live], base[live], limit[live], times_[live, -1]
+                    step += chunk
             block += 1
-        r, t, i, k = (np.concatenate(x) for x in (found_r, found_t, found_i, found_m))
-        slot = r * m + i.astype(np.int64)
-        order = np.lexsort((k, t, slot))
-        first = order[np.concatenate([[True], slot[order][1:] != slot[order][:-1]])] if len(order) else order
-        times.reshape(-1)[slot[first]] = t[first]
-        marks.reshape(-1)[slot[first]] = k[first]
-        pending = pending & np.isinf(times).any(axis=1)
+        for slot, at, mark in found:
+            first = at == times[slot]
+            marks[slot[first]] = mark[first]
+        pending = pending & np.isinf(times.reshape(n_rows, m)).any(axis=1)
         until = np.where(pending, until * 2, until)
-    return marks
+    return marks.reshape(n_rows, m)
 
 
 def bags(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, distinct items and their counts."""
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    order = np.lexsort((hashes, row))
-    r, h = row[order], hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])) if len(r) else np.zeros(0, np.int64)
-    return r[first], h[first], np.diff(np.append(first, len(r)))
+    row, h = np.repeat(np.arange(len(offs) - 1), np.diff(offs)), hashes.copy()
+    for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        h[i:j].sort()
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return row[first], h[first], np.diff(np.append(first, len(row)))
 
 
 def _signer(n: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            for i, j in row_groups(offs):
+            for i, j in row_groups(offs, rows=GROUP_ROWS):
                 base = offs[i]
                 hashes, soff = shingles(data[base : offs[j]], offs[i : j + 1] - base, n)
                 r, item, weight = bags(hashes, soff)
-                marks = signatures(r, item, weight, j - i, bands * rows).reshape(j - i, bands, rows)
+                marks = signatures(r, item, weight, j - i, bands * rows)
+                sketch = (marks & np.uint64(0xFF)).astype(np.uint8)
+                marks = marks.reshape(j - i, bands, rows)
                 key = np.zeros((j - i, bands), np.uint64)
                 for c in range(rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + marks[:, :, c])
                 key = mix(key + np.arange(bands, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-                values = pa.array(key.reshape(-1).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), batch.column("node").slice(i, j - i), pa.array(np.diff(soff)), pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), values)],
-                    ["doc_id", "node", "n", "keys"],
+                    [
+                        batch.column("doc_id").slice(i, j - i),
+                        batch.column("node").slice(i, j - i),
+                        pa.array(np.diff(soff)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands, dtype=np.int32)), pa.array(key.reshape(-1).view(np.int64))),
+                        pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    ],
+                    ["doc_id", "node", "n", "keys", "sketch"],
                 )
 
     return sign
@@ -151,9 +168,22 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
-def components(links: DataFrame) -> DataFrame:
+def _estimator(least: float):
+    """Of sketched pairs those whose registers agree in a share of at least `least`, with that share."""
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (text_bytes(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            share = (a == b).mean(axis=1) if batch.num_rows else np.zeros(0)
+            pick = pa.array(np.flatnonzero(share >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pick), batch.column("hub").take(pick), pa.array(share[share >= least])], ["node", "hub", "share"])
+
+    return estimate
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for the nodes of links (a, b): large-star and small-star steps until nothing changes; comp is the smallest node."""
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = scratch.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,7 +191,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, scratch.put(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        scratch.drop(old)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -169,63 +200,71 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def text_node() -> Column:
-    """128 bits of the text's digest; a text without a word is named by its row's doc_id."""
+    """64 bits that name a text; a text without a word is named by its row's doc_id."""
     blank = F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "") == ""
-    of_row = F.concat(F.lit("blank "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return F.unhex(F.substring(F.sha2(F.when(blank, of_row).otherwise(F.col("text")), 256), 1, 32))
+    return F.when(blank, F.xxhash64(F.lit("blank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.xxhash64("text"))
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id and n_shingles for every row of docs, with `node`, the key of its text, and `comp`, that of its class."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = base.withColumn("node", text_node())
-    signed = checkpoint(named.mapInArrow(_signer(n, bands, rows), "doc_id long, node binary, n long, keys array<long>"))
+    """doc_id, class_id, class_size and n_shingles for every row of docs, with `node`, the key of its text, and `comp`, that of its class."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", text_node())
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    signed = scratch.put(named.mapInArrow(_signer(n, bands, rows), "doc_id long, node long, n long, keys array<long>, sketch binary"))
     nodes = signed.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("keys").alias("keys"))
-    buckets = nodes.select("node", "n", F.explode("keys").alias("bucket")).withColumn("ord", F.xxhash64("node"))
+    buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = checkpoint(buckets.join(shared, "bucket"))
+    met = scratch.put(buckets.join(shared, "bucket"))
+    # A text that meets many others, as the original of many copies does, is the hub of its buckets.
+    members = scratch.put(met.join(met.groupBy("node").agg(F.sum("members").alias("degree")), "node").select("bucket", "node", "n", "degree"))
+    scratch.drop(met)
     found = signed.select("doc_id", "node", "n")
-    if not members.limit(1).count():
-        comp = None
-    else:
-        texts = checkpoint(named.join(members.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")))
-        comp = _link(members, texts, n, threshold)
-    if comp is not None:
-        found = found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        found = found.withColumn("comp", F.col("node"))
+    comp = None
+    if members.limit(1).count():
+        some = members.select("node").distinct()
+        sketches = scratch.put(signed.select("node", "sketch").join(some, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")))
+        # The only exchange of texts: those that share a bucket with another, each once.
+        texts = scratch.put(named.select("node", "text").join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+        comp = _link(members, sketches, texts, n, threshold, bands * rows, scratch)
+    found = found.withColumn("comp", F.col("node")) if comp is None else found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return found.join(least, "comp").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), "node", "comp")
 
 
-def _link(members: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame | None:
+def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, threshold: float, m: int, scratch: Scratch) -> DataFrame:
     similar = F.least("n", "h_n") >= F.lit(threshold) * F.greatest("n", "h_n")  # no overlap can be larger
+    least = threshold - DOUBT * (threshold * (1 - threshold) / m) ** 0.5
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(sketches.withColumnRenamed("sketch", "sketch_a"), "node")
+        both = with_a.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("sketch_b")), "hub")
+        return both.select("node", "hub", "sketch_a", "sketch_b").mapInArrow(_estimator(least), "node long, hub long, share double")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = scratch.put(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
         with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, threshold), "a binary, b binary")
-
-    # Round 0: each text with the first hub of all its buckets.
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("ord", "node", "n")).alias("hub"))
-    first = members.join(hubs, "bucket").groupBy("node", "n").agg(F.min("hub").alias("hub"))
-    pairs = first.select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("h_n")).filter("node <> hub").filter(similar)
-    links = checkpoint(verified(pairs))
-    used, more = 0, 1
-    rest = members
+        return scratch.put(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, threshold), "a long, b long"))
+
+    # Round 0: each text with the likeliest of the first hubs of its buckets.
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
+    pairs = members.join(hubs, "bucket").filter("node <> hub.node").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("h_n")).distinct().filter(similar)
+    best = likely(pairs.select("node", "hub")).groupBy("node").agg(F.max(F.struct("share", "hub")).alias("best"))
+    links = verified(best.select("node", "best.hub"))
+    used, more, held = 0, 1, members
     while True:
-        comp = components(links)
-        rest = rest.select("bucket", "node", "n", "ord").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).filter(f"c0 <> c1 AND members > {used + 1}").select("bucket")
-        rest = checkpoint(rest.join(split, "bucket"))
+        comp = components(links, scratch)
+        rest = held.select("bucket", "node", "n", "degree").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        split = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).filter(f"c0 <> c1 AND members > {max(used, 1)}").select("bucket")
+        rest = scratch.put(rest.join(split, "bucket"))
+        scratch.drop(held)
+        held = rest
         if not rest.limit(1).count():
             return comp
         # Hubs number used+1 to used+more of each bucket that holds several classes yet.
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy("ord", "node"))
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("node")))
         hubs = rest.select("bucket", F.col("node").alias("hub"), F.col("n").alias("h_n"), F.col("comp").alias("h_comp"), order.alias("k")).filter((F.col("k") > used) & (F.col("k") <= used + more))
-        pairs = rest.join(hubs, "bucket").filter("comp <> h_comp").filter(similar)
-        links = checkpoint(links.unionByName(verified(pairs)))
+        pairs = rest.join(hubs, "bucket").filter("comp <> h_comp").filter(similar).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+        links = links.unionByName(verified(likely(pairs)))
         used, more = used + more, more * 4
 
 

@@ -34,6 +34,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder in an operator's course: compact, read back with known sizes, and dropped when done with."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.base, self.n = spark, shared_dir(spark, purpose), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df, cut off from its lineage."""
+        path = f"{self.base}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the files of a table that put() gave and that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -72,7 +93,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def salted(x: np.ndarray, salt: int) -> np.ndarray:
+def salted(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    if isinstance(salt, np.ndarray):
+        return mix(x + (salt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return mix(x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF))
 
 
@@ -88,12 +111,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_groups(offs: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about limit bytes; a longer row stands alone."""
+def row_groups(offs: np.ndarray, limit: int = GROUP_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about limit bytes and of at most `rows` rows; a longer row stands alone."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + limit, "right")) - 1
-        j = min(n, max(i + 1, j))
+        j = min(n, i + rows, max(i + 1, j))
         yield i, j
         i = j
 

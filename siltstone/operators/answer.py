@@ -11,7 +11,7 @@ from siltstone.functions.text import text
 def grounding(blocks: DataFrame, query: str, score: str, section: str, page: str) -> DataFrame:
     """A row a query: n_blocks, grounding (mean score, 4 digits), mean_score, diversity counts and warnings."""
     out = blocks.groupBy(query).agg(F.count(F.lit(1)).alias("n_blocks"), F.avg(score).alias("mean_score"), F.countDistinct(section).alias("n_sections"), F.countDistinct(page).alias("n_pages"))
-    out = out.withColumn("grounding", F.round("mean_score", 4))
+    out = out.withColumn("grounding", F.round(F.col("mean_score") + 1e-9, 4))
     marks = [(F.col("grounding") < 0.5, "low_confidence"), (F.col("n_blocks") < 2, "insufficient_blocks"), ((F.col("n_blocks") >= 3) & (F.col("n_sections") < 2), "low_topical_diversity")]
     return out.withColumn("warnings", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in marks])))
 

@@ -251,7 +251,7 @@ _BUDGET = f"""WITH RECURSIVE {_RER},
 bu AS (SELECT query_id, position, tokens <= 2000 AS fits, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used FROM po WHERE position = 1
   UNION ALL SELECT po.query_id, po.position, bu.used + po.tokens <= 2000, bu.used + CASE WHEN bu.used + po.tokens <= 2000 THEN po.tokens ELSE 0 END FROM bu JOIN po ON po.query_id = bu.query_id AND po.position = bu.position + 1),
 ctx AS (SELECT po.*, bu.fits FROM po JOIN bu USING (query_id, position)),
-gr AS (SELECT query_id, count(*) AS n_blocks, round(avg(relevance), 4) AS grounding, avg(relevance) AS ms, count(DISTINCT section_type) AS ns FROM ctx WHERE fits GROUP BY query_id),
+gr AS (SELECT query_id, count(*) AS n_blocks, round(avg(relevance) + 1e-9, 4) AS grounding, avg(relevance) AS ms, count(DISTINCT section_type) AS ns FROM ctx WHERE fits GROUP BY query_id),
 gw AS (SELECT *, array_to_string(list_filter([CASE WHEN grounding < 0.5 THEN 'low_confidence' END, CASE WHEN n_blocks < 2 THEN 'insufficient_blocks' END, CASE WHEN n_blocks >= 3 AND ns < 2 THEN 'low_topical_diversity' END], lambda x: x IS NOT NULL), ',') AS warnings FROM gr)"""
 _PQ = f"""{_BM25}, res AS (SELECT query_id, rank, page_type, priority > 0 AS rel, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS total, {_INTENT} AS intent FROM rk JOIN q USING (query_id) WHERE rank <= 10),
 pq AS (SELECT query_id, intent, round(CASE WHEN max(total) > 0 THEN (count(*) FILTER (WHERE rel AND rank <= 5))::DOUBLE / max(total) ELSE 0 END, 4) AS recall_5, round(CASE WHEN max(total) > 0 THEN (count(*) FILTER (WHERE rel))::DOUBLE / max(total) ELSE 0 END, 4) AS recall_10, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rel), 0), 4) AS mrr, max(rel::INT)::DOUBLE AS hit_rate, round((count(*) FILTER (WHERE rel AND rank <= 3)) / 3.0::DOUBLE, 4) AS precision_3, round((count(*) FILTER (WHERE rank <= 5 AND page_type = top)) / 5.0::DOUBLE, 4) AS purity_5
