@@ -69,6 +69,21 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def bit_table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of 2^bits bits with those set that the low bits of a long column name; its size does not grow with keys."""
+    slot = F.col(column).bitwiseAND((1 << bits) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(63).cast("int"))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
+    return table
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    slot = keys & np.uint64((1 << bits) - 1)
+    return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 # --- Arrow text hashing -------------------------------------------------------------------------------------
 
 

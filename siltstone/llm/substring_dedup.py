@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import PLAIN, checkpoint, gram_hashes, partitions, row_groups, row_of, table, text_bytes, word_hashes
+from siltstone.llm.common import PLAIN, bit_table, checkpoint, gram_hashes, has_bit, partitions, row_groups, row_of, table, text_bytes, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
@@ -84,8 +84,7 @@ def _seeder(window: int, k: int, bitmap, hot, only_hot: bool, bits: int):
             doc, mark = (batch.column(c).to_numpy() for c in ("doc", "mark"))
             for i, _, h, woff in _groups(batch):
                 a, start, n = anchors(h, woff, window, k)
-                slot = a & np.uint64((1 << bits) - 1)
-                ok = (seen[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+                ok = has_bit(seen, a, bits)
                 ok &= np.isin(a, often) == only_hot
                 a, start, n = a[ok], start[ok], n[ok]
                 row = np.searchsorted(woff, start, "right") - 1
@@ -160,10 +159,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bits: int =
     named = docs.select(_key(F.col("doc_id")).alias("doc"), F.xxhash64("text").alias("mark"), "text")
     counts = checkpoint(named.select("text").mapInArrow(_counter(window, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
     # At most 2^(bits-6) words of bits, however large the corpus.
-    slot = F.col("anchor").bitwiseAND((1 << bits) - 1)
-    words = counts.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(anchor & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words.column("word").to_numpy()] = words.column("bit").to_numpy().view(np.uint64)
+    bitmap = bit_table(counts, "anchor", bits)
     total = counts.agg(F.sum("n")).first()[0] or 0
     # At most HOT_SHARE anchors can hold this share of all.
     hot = np.array([r[0] for r in counts.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("anchor").collect()], np.int64).view(np.uint64)
