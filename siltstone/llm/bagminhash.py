@@ -3,10 +3,12 @@
 Each shingle of weight w owns w unit-rate Poisson processes, taken in dyadic blocks of the weight axis: the process of a
 block has the rate of its length, and a point counts if its place in the block lies under the weight. Of every register
 the earliest point is kept, so two texts agree in a register with the probability of their weighted Jaccard similarity.
-Registers are banded; a bucket of texts that share a band is compared with one hub at a time, never all with all: texts
-that a round has put into one class are not compared again, and rounds go on, with more hubs each, until every bucket
-is of one class or all its members have been hubs. Comparison is exact, on whole multisets. Thus a large group of copies costs a few
-comparisons a text, and no link between different texts that share a bucket is lost.
+Registers are banded. Texts that share a band's bucket are compared in three rounds. First each meets the likeliest hub
+of its buckets, and verified links make classes, so that a large group of copies costs one comparison a text. Then of
+every two classes that still share a bucket the likeliest pair is compared, and last every likely pair of texts of two
+classes. Registers alone tell which pairs are likely: a bucket of many texts is dealt out in blocks that meet two by two,
+and no pair leaves a block but the likely ones. Comparison is exact, on whole multisets, so no link between different
+texts that share a bucket is lost.
 
 Registers that put a pair far under the threshold spare it the exact comparison (DOUBT standard errors). Texts are
 collapsed to distinct ones first, so exact copies are one node, named by 64 bits. Null texts and texts without a word are
@@ -21,19 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import PLAIN, Scratch, gram_hashes, mix, row_groups, salted, table, text_bytes, word_hashes
+from siltstone.llm.common import PLAIN, Scratch, bit_table, gram_hashes, has_bit, mix, partitions, row_groups, salted, table, text_bytes, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
 #: A pair is passed over if its registers put it this many standard errors under the threshold.
 DOUBT = 4.5
+#: Registers of the second signature, of texts that still share a bucket with another class.
+FINE = 1024
 CHUNK, CHUNK_FROM = 64, 8
 #: Texts signed at once: each has some 2000 points in memory.
 GROUP_ROWS = 800
+#: Texts of a bucket compared at once, and the most of them in a block of a bucket that is dealt out to many.
+BLOCK_TEXTS, BLOCK_MOST = 256, 1 << 14
+#: Bits of the table that spares other texts the exchange; a fuller one lets more through, never fewer.
+SIEVE_BITS = 27
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +124,9 @@ def bags(hashes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[first], h[first], np.diff(np.append(first, len(row)))
 
 
+SIGNED = "doc_id long, node long, n long, keys array<long>, sketch binary"
+
+
 def _signer(n: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,12 +179,18 @@ def _verifier(n: int, threshold: float):
     return verify
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of registers in which each row of a agrees with each row of b."""
+    step = max(1, (8 << 20) // max(1, len(b) * a.shape[1]))
+    return np.concatenate([(a[i : i + step, None, :] == b[None, :, :]).mean(axis=2) for i in range(0, len(a), step)])
+
+
 def _estimator(least: float):
     """Of sketched pairs those whose registers agree in a share of at least `least`, with that share."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (text_bytes(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            a, b = (text_bytes(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("sketch", "h_sketch"))
             share = (a == b).mean(axis=1) if batch.num_rows else np.zeros(0)
             pick = pa.array(np.flatnonzero(share >= least))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pick), batch.column("hub").take(pick), pa.array(share[share >= least])], ["node", "hub", "share"])
@@ -181,6 +198,59 @@ def _estimator(least: float):
     return estimate
 
 
+PAIRS = ["a", "b", "comp_a", "comp_b"]
+
+
+def _matcher(least: float, threshold: float, best: bool):
+    """Rows sorted by unit (bucket, i, j). Gives likely pairs of texts of two classes: the likeliest of each two classes, or all, each in its first bucket."""
+
+    def of_unit(cross: bool, band: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, keys: np.ndarray, sketch: np.ndarray) -> Iterator[np.ndarray]:
+        ours = np.flatnonzero(block == block.min()) if cross else np.arange(len(node))
+        theirs = np.flatnonzero(block != block.min()) if cross else ours
+        for c in np.unique(comp[ours]):
+            a = ours[comp[ours] == c]
+            b = theirs[comp[theirs] != c] if cross else theirs[comp[theirs] > c]
+            if not len(b):
+                continue
+            share = _agreement(sketch[a], sketch[b])
+            x, y = np.nonzero((share >= least) & (np.minimum(n[a][:, None], n[b]) >= threshold * np.maximum(n[a][:, None], n[b])))
+            if best and len(x):
+                order = np.lexsort((node[b[y]], node[a[x]], -share[x, y], comp[b[y]]))
+                order = order[np.unique(comp[b[y]][order], return_index=True)[1]]
+                x, y = x[order], y[order]
+            elif len(x):
+                again = (keys[a[x], : band[0]] == keys[b[y], : band[0]]).any(axis=1)  # they meet in an earlier band
+                x, y = x[~again], y[~again]
+            one, two = node[a[x]], node[b[y]]
+            swap = one > two
+            yield np.stack([np.where(swap, two, one), np.where(swap, one, two), np.where(swap, comp[b[y]], c), np.where(swap, c, comp[b[y]])])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def pairs(cols: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+            out = [np.zeros((4, 0), np.int64)]
+            for s, t in zip(edges[:-1], edges[1:], strict=True):
+                out += of_unit(cols[1][s] != cols[2][s], *(c[s:t] for c in cols[3:]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], PAIRS)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("bucket", "i", "j", "band", "block", "node", "n", "comp")]
+            cols += [batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1), text_bytes(batch.column("sketch"))[0].reshape(batch.num_rows, -1)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            edges = np.concatenate([[0], np.flatnonzero(new) + 1])
+            yield pairs(cols, edges)
+            held = [c[edges[-1] :].copy() for c in cols]  # the last unit may go on
+        if held is not None:
+            yield pairs(held, np.array([0, len(held[0])]))
+
+    return match
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for the nodes of links (a, b): large-star and small-star steps until nothing changes; comp is the smallest node."""
     edges = scratch.put(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -188,7 +258,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, scratch.put(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
@@ -205,76 +275,108 @@ def text_node() -> Column:
     return F.when(blank, F.xxhash64(F.lit("blank"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.xxhash64("text"))
 
 
+def _sifted(rows: DataFrame, keys: DataFrame, outside: bool = False) -> DataFrame:
+    """Rows whose node has its bit set in a bit table of the nodes of keys: all rows of those nodes and few others; with outside the rest."""
+    bits = min(SIEVE_BITS, max(16, (16 * keys.count()).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(bit_table(keys, "node", bits))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = has_bit(shared.value, batch.column("node").to_numpy().view(np.uint64), bits)
+            yield batch.filter(pa.array(hit != outside))
+
+    return rows.mapInArrow(sift, rows.schema)
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size and n_shingles for every row of docs, with `node`, the key of its text, and `comp`, that of its class."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", text_node())
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    signed = scratch.put(named.mapInArrow(_signer(n, bands, rows), "doc_id long, node long, n long, keys array<long>, sketch binary"))
+    signed = scratch.put(named.mapInArrow(_signer(n, bands, rows), SIGNED))
     nodes = signed.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("keys").alias("keys"))
-    buckets = nodes.select("node", "n", F.explode("keys").alias("bucket"))
+    buckets = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch.put(buckets.join(shared, "bucket"))
-    # A text that meets many others, as the original of many copies does, is the hub of its buckets.
-    members = scratch.put(met.join(met.groupBy("node").agg(F.sum("members").alias("degree")), "node").select("bucket", "node", "n", "degree"))
-    scratch.drop(met)
     found = signed.select("doc_id", "node", "n")
-    comp = None
-    if members.limit(1).count():
-        some = members.select("node").distinct()
-        sketches = scratch.put(signed.select("node", "sketch").join(some, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")))
-        # The only exchange of texts: those that share a bucket with another, each once.
-        texts = scratch.put(named.select("node", "text").join(some, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-        comp = _link(members, sketches, texts, n, threshold, bands * rows, scratch)
-    found = found.withColumn("comp", F.col("node")) if comp is None else found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if met.limit(1).count():
+        comp = _classes(named.select("node", "text"), signed.select("node", "keys", "sketch"), met, n, threshold, bands * rows, scratch)
+        found = found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    else:
+        found = found.withColumn("comp", F.col("node"))
     least = found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return found.join(least, "comp").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), "node", "comp")
 
 
-def _link(members: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, threshold: float, m: int, scratch: Scratch) -> DataFrame:
-    similar = F.least("n", "h_n") >= F.lit(threshold) * F.greatest("n", "h_n")  # no overlap can be larger
-    least = threshold - DOUBT * (threshold * (1 - threshold) / m) ** 0.5
+def _classes(texts: DataFrame, sketches: DataFrame, met: DataFrame, n: int, threshold: float, m: int, scratch: Scratch) -> DataFrame:
+    """(node, comp) of the nodes that meet another in met (bucket, band, node, n, members)."""
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sketches.withColumnRenamed("sketch", "sketch_a"), "node")
-        both = with_a.join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("sketch_b")), "hub")
-        return both.select("node", "hub", "sketch_a", "sketch_b").mapInArrow(_estimator(least), "node long, hub long, share double")
+    def doubtful(m: int) -> float:
+        return threshold - DOUBT * (threshold * (1 - threshold) / m) ** 0.5
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.put(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    # A text that meets many others, as the original of many copies does, is the hub of its buckets.
+    some = scratch.put(met.groupBy("node").agg(F.sum("members").alias("degree")))
+    # The only exchange of texts and sketches: those that share a bucket with another, each once.
+    texts = scratch.put(_sifted(texts, some).join(some.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    sketches = scratch.put(sketches.join(some, "node").groupBy("node").agg(F.first("degree").alias("degree"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+    members = met.join(sketches, "node")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs, each once, and those of them that are similar, with all columns."""
+        pairs = scratch.put(pairs.distinct())
+        with_a = pairs.select("a", "b").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.put(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, threshold), "a long, b long"))
-
-    # Round 0: each text with the likeliest of the first hubs of its buckets.
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("hub"))
-    pairs = members.join(hubs, "bucket").filter("node <> hub.node").select("node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("h_n")).distinct().filter(similar)
-    best = likely(pairs.select("node", "hub")).groupBy("node").agg(F.max(F.struct("share", "hub")).alias("best"))
-    links = verified(best.select("node", "best.hub"))
-    used, more, held = 0, 1, members
-    while True:
-        comp = components(links, scratch)
-        rest = held.select("bucket", "node", "n", "degree").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("members")).filter(f"c0 <> c1 AND members > {max(used, 1)}").select("bucket")
+        good = scratch.put(both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n, threshold), "a long, b long"))
+        return pairs, pairs.join(good, ["a", "b"])
+
+    # First each text with the likeliest of the hubs of its buckets.
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "sketch"), F.struct("degree", "node")).alias("hub"))
+    similar = F.least("n", "hub.n") >= F.lit(threshold) * F.greatest("n", "hub.n")  # no overlap can be larger
+    pairs = members.join(hubs, "bucket").filter("node <> hub.node").filter(similar)
+    pairs = pairs.select("node", F.col("hub.node").alias("hub"), "sketch", F.col("hub.sketch").alias("h_sketch")).mapInArrow(_estimator(doubtful(m)), "node long, hub long, share double")
+    best = pairs.groupBy("node").agg(F.max(F.struct("share", "hub")).alias("best"))
+    links = verified(best.select(F.least("node", "best.hub").alias("a"), F.greatest("node", "best.hub").alias("b")))[1]
+    comp = some.select("node").join(components(links, scratch), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Then, where a bucket holds several classes yet, the likeliest pair of every two of them, and at last all likely pairs.
+    tried = None
+    for last in (False, True):
+        comp = scratch.put(comp)
+        rest = met.join(comp, "node")
+        split = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("bucket")
         rest = scratch.put(rest.join(split, "bucket"))
-        scratch.drop(held)
-        held = rest
-        if not rest.limit(1).count():
-            return comp
-        # Hubs number used+1 to used+more of each bucket that holds several classes yet.
-        order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), F.desc("node")))
-        hubs = rest.select("bucket", F.col("node").alias("hub"), F.col("n").alias("h_n"), F.col("comp").alias("h_comp"), order.alias("k")).filter((F.col("k") > used) & (F.col("k") <= used + more))
-        pairs = rest.join(hubs, "bucket").filter("comp <> h_comp").filter(similar).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
-        links = links.unionByName(verified(likely(pairs)))
-        used, more = used + more, more * 4
+        marks = sketches.select("node", "keys", "sketch")
+        if last:  # more registers, so that fewer pairs are in doubt
+            left = texts.join(rest.select("node").distinct(), "node", "left_semi").withColumn("doc_id", F.lit(None).cast("long"))
+            fine = left.mapInArrow(_signer(n, FINE // 8, 8), SIGNED).select("node", "sketch")
+            marks = scratch.put(sketches.select("node", "keys").join(fine, "node"))
+        blocks = F.ceil(F.when(F.col("members") <= BLOCK_TEXTS**2, F.col("members") / BLOCK_TEXTS).otherwise(F.greatest(F.lit(BLOCK_TEXTS), F.col("members") / BLOCK_MOST))).cast("int")
+        rest = rest.join(marks, "node").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
+        units = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "n", "comp", "keys", "sketch")
+        units = units.repartition(partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+        pairs = units.mapInArrow(_matcher(doubtful(FINE if last else m), threshold, not last), ", ".join(f"{c} long" for c in PAIRS))
+        pairs = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried, links = verified(pairs)
+        joined = components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), scratch).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        comp = comp.join(joined, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return scratch.put(comp)
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one row of each class left: that of the smallest doc_id, and one of rows with equal doc_id and text."""
-    chosen = near_duplicates(docs, **parameters).groupBy("class_id", "comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("w"))
-    chosen = chosen.select(F.col("w.node").alias("__node"), F.coalesce(F.col("w.doc_id"), F.lit(0)).alias("__id"), F.col("w.none").alias("__none")).distinct()
-    named = docs.withColumn("__node", text_node()).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__none", F.col("doc_id").isNull())
-    one = named.join(chosen, ["__node", "__id", "__none"], "left_semi").groupBy("__node").agg(F.first(F.struct(*docs.columns)).alias("row"))
-    return one.select("row.*")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "node")
+    named = scratch.put(near_duplicates(docs, **parameters).select("doc_id", "node", "comp", rank.alias("rank")))
+    chosen = named.groupBy("comp").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # Only texts of classes of several rows are exchanged; all others stay.
+    classes = scratch.put(named.join(chosen.select("comp", F.col("rank").alias("best")), "comp").select("node", "rank", "best").distinct())
+    all_rows = docs.withColumn("node", text_node()) if "node" not in docs.columns else docs.withColumnRenamed("node", "__own").withColumn("node", text_node())
+    sole = _sifted(all_rows, classes, outside=True)
+    doubt = _sifted(all_rows, classes)
+    key = F.struct(F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "node").alias("rank")
+    kept = classes.filter("rank = best").select("rank").distinct()
+    apart = doubt.join(classes.select("node").distinct(), "node", "left_anti")
+    one = doubt.withColumn("__rank", key).join(kept.withColumnRenamed("rank", "__rank"), "__rank", "left_semi").groupBy("__rank").agg(F.first(F.struct(*all_rows.columns)).alias("row")).select("row.*")
+    out = sole.unionByName(apart).unionByName(one).drop("node")
+    return out.withColumnRenamed("__own", "node") if "node" in docs.columns else out
 
 
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
