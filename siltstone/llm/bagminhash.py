@@ -33,11 +33,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 7
 #: A pair is passed over if its registers put it this many standard errors under the threshold.
 DOUBT = 4.5
+#: Bytes of pairs of texts that are compared at once.
+PAIR_BYTES = 1 << 20
 #: Registers of the second signature, of texts that still share a bucket with another class.
 FINE = 1024
 CHUNK, CHUNK_FROM = 64, 8
-#: Texts signed at once: each has some 2000 points in memory.
-GROUP_ROWS = 800
+#: Points in memory at once: a text makes about m * (log m + 3) of them for m registers.
+GROUP_POINTS = 400_000
 #: Texts of a bucket compared at once, and the most of them in a block of a bucket that is dealt out to many.
 BLOCK_TEXTS, BLOCK_MOST = 256, 1 << 14
 #: Bits of the table that spares other texts the exchange; a fuller one lets more through, never fewer.
@@ -128,10 +130,13 @@ SIGNED = "doc_id long, node long, n long, keys array<long>, sketch binary"
 
 
 def _signer(n: int, bands: int, rows: int):
+    m = bands * rows
+    at_once = max(1, int(GROUP_POINTS / (m * (np.log(m) + 3))))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column("text"))
-            for i, j in row_groups(offs, rows=GROUP_ROWS):
+            for i, j in row_groups(offs, rows=at_once):
                 base = offs[i]
                 hashes, soff = shingles(data[base : offs[j]], offs[i : j + 1] - base, n)
                 r, item, weight = bags(hashes, soff)
@@ -169,7 +174,7 @@ def _verifier(n: int, threshold: float):
         for batch in batches:
             sides = [text_bytes(batch.column(c)) for c in ("text_a", "text_b")]
             good, done = [], 0
-            for i, j in row_groups(sides[0][1] + sides[1][1]):
+            for i, j in row_groups(sides[0][1] + sides[1][1], PAIR_BYTES):
                 (ha, oa), (hb, ob) = (shingles(d[o[i] : o[j]], o[i : j + 1] - o[i], n) for d, o in sides)
                 good += [done + k for k in range(j - i) if _similarity(ha[oa[k] : oa[k + 1]], hb[ob[k] : ob[k + 1]]) >= threshold]
                 done += j - i

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 WHITESPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SEGMENT_BYTES = 256 << 10
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ UNKNOWN = "und"
 TABLE_BITS = 18
 TRAIN_ROWS, TRAIN_CHARS, EPOCHS, SPLIT = 250, 4000, 3, (3, 1)
 BLOCK = 128
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 @lru_cache(maxsize=1)
