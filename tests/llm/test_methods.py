@@ -228,6 +228,29 @@ def test_filter_reads_levels_back():
     assert (other > 0).mean() < 0.05
 
 
+def test_filter_grows_with_its_entries():
+    keys = np.sort(mix(np.arange(1, 20_001, dtype=np.uint64)))
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "words": [keys.tobytes()], "word_counts": [np.ones(len(keys), np.uint32).tobytes()], "pairs": pa.array([b""]), "pair_counts": pa.array([b""])})
+    model = lm_score.Model(lm_score._table(64, 100)(t).to_pylist(), 1)
+    other = model.estimate(lm_score.salted(mix(keys + np.uint64(1 << 40)) & lm_score.LOW40, 1), np.zeros(len(keys), np.int64))
+    assert (other > 0).mean() < 0.05
+
+
+def test_lm_score_by_quantised_counts_and_any_cache(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    few, many = ({r.doc_id: r.score for r in lm_score.score_texts(docs, top=top).collect()} for top in (4, 1 << 18))
+    texts = {r.doc_id: [w for w in SPACE.split((r.text or "").translate(ASCII_LOWER)) if w] + ["\0"] for r in docs.select("doc_id", "text").collect()}
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    ones, twos = Counter(w for t in train for w in t), Counter(x for t in train for x in zip(["\0", *t], t))
+    size, q = ones.total() + len(ones) + 1, lambda c: (1.5 * 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    off = []
+    for i, t in texts.items():
+        want = sum(math.log10((q(twos[v, w]) + lm_score.MU * (q(ones[w]) + 1) / size) / (q(ones[v]) + lm_score.MU)) for v, w in zip(["\0", *t], t))
+        assert math.isclose(few[i], many[i], rel_tol=1e-9)
+        off.append(abs(many[i] - want) / len(t))
+    assert sum(off) / len(off) < 0.02 and max(off) < 0.2
+
+
 def test_water_fill_and_fit():
     targets = budget_mix.water_fill({"b": 100, "a": 10, None: 50})
     assert targets["a"] == 20 and math.isclose(sum(targets.values()), 240) and targets["b"] <= 200 and targets[None] <= 100
