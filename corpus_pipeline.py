@@ -15,7 +15,7 @@ from siltstone.llm.common import shared_dir, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language the field names with a score of 0.5 or more."""
+    """Texts whose language the field names with a score of 0.5 or more, and those whose words each fit one of its languages."""
     return lang_crf.keep_known(docs, lang_crf.train(docs))
 
 

@@ -183,6 +183,18 @@ def test_language_on_held_out_rows_and_switches(spark):
     assert labels[:20].count("en") >= 17 and labels[-20:].count("es") >= 17
 
 
+def test_texts_of_three_languages_are_kept_and_random_letters_are_not(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    model = lang_crf.train(docs)
+    parts = [docs.filter(F.col("lang") == lang).orderBy("doc_id").first()["text"].split()[:60] for lang in ("en", "es", "fr")]
+    mixed = " ".join(" ".join(p[k : k + 20]) for k in (0, 20, 40) for p in parts)
+    rng = random.Random(1)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(600))
+    assert model.predict(pa.array([mixed]))[1][0] < 0.5
+    rows = spark.createDataFrame([(1, "en", mixed), (2, "en", noise), (3, "en", " ".join(parts[0]))], docs.schema)
+    assert {r.doc_id for r in lang_crf.keep_known(rows, model).collect()} == {1, 3}
+
+
 def test_secret_spans_and_held_out_models(spark, texts):
     got = {r.doc_id: r for r in registry.QUERIES["op4_secret_markov"](spark, DATA).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
