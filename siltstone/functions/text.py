@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions import fuzzy
+
 TOKEN = r"[\p{L}\p{N}][\p{L}\p{N}&.+\-]*"
 #: Lines of pages that carry no content; the rules of a site are passed instead of these.
 LINE_RULES = (r"^(?i)(skip to (main )?content|read more|share this)$", r"^(?i)(cookie|privacy) (notice|policy)$", r"^(?i)all rights reserved\.?$", r"^[\-_=*. ]{4,}$")
@@ -141,11 +143,13 @@ def speech(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(^|\n)[ \t]*[*•\-][ \t]+", ", "), r"\s+", " "))
 
 
-def normalize_department(c: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
-    """The first name of which an alias stands in the text as a word, after & to and, punctuation, titles and single letters went."""
+def _department_words(c: Column) -> Column:
     x = F.lower(F.regexp_replace(text(c), "&", " and "))
     x = F.regexp_replace(F.regexp_replace(x, r"[^a-z0-9 ]+", " "), r"(^| )(dr|prof|mr|mrs|ms|the)( |$)", " ")
-    x = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(x, r"(^| )[a-z](?= |$)", " "), " +", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(x, r"(^| )[a-z](?= |$)", " "), " +", " ")), F.lit(" "))
+
+
+def _department_alias(x: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     out = None
     for name, words in aliases.items():
         hit = F.lit(False)
@@ -155,10 +159,25 @@ def normalize_department(c: Column, aliases: Mapping[str, Sequence[str]]) -> Col
     return out if out is not None else F.lit(None).cast("string")
 
 
+def _departments(values: Column, aliases: Mapping[str, Sequence[str]], least: float = 88.0) -> Column:
+    """The names of an array of texts: by alias, else by the alias most like the text. Texts too long to be like one stay out of Python."""
+    names = {w: name for name, words in aliases.items() for w in words}
+    longest = 8 * max(map(len, names), default=0)
+    words = F.transform(values, _department_words)
+    found = F.transform(words, lambda x: _department_alias(x, aliases))
+    asked = F.zip_with(words, found, lambda x, f: F.when(f.isNull() & (F.length(F.trim(x)) <= longest), F.trim(x)))
+    return F.zip_with(found, fuzzy.closest(names, least)(asked), lambda f, g: F.coalesce(f, g))
+
+
+def normalize_department(c: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
+    """The first name of which an alias stands in the text as a word, after & to and, punctuation, titles and single letters went; else that of an alias at least 88 per cent alike."""
+    return F.get(_departments(F.array(c), aliases), F.lit(0))
+
+
 def infer_department(columns: Sequence[Column], headings: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     """The first name found in the columns, then in the headings."""
-    found = [normalize_department(c, aliases) for c in columns]
-    return F.coalesce(*found, F.get(F.filter(F.transform(headings, lambda h: normalize_department(h, aliases)), lambda d: d.isNotNull()), F.lit(0)))
+    found = _departments(F.concat(F.array(*columns), F.coalesce(headings, F.array().cast("array<string>"))), aliases)
+    return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
 def fallback_sections(c: Column, heading: str = r"^[A-Z][^.!?]{2,60}$") -> Column:

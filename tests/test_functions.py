@@ -75,3 +75,11 @@ def test_rules(spark):
     assert one(spark, rules.entities(F.lit("the license"))) == {"topic": "law", "lang": "en"}
     assert one(spark, rules.component_type(F.lit("licensed under; price 3"))) is None
     assert 0 <= one(spark, rules.answerability(F.lit("- a\n- b 10 20 | ? click here"))) <= 1
+
+
+def test_department_by_the_alias_most_like_it(spark):
+    aliases = {"Physics": ["physics", "applied physics"], "History": ["history"]}
+    cases = {"Physicss": "Physics", "Hisstory": "History", "Aplied Physicss": "Physics", "chemistry": None, "": None, None: None, "history of physics": "Physics"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["d"] for r in rows.select("t", text.normalize_department(F.col("t"), aliases).alias("d")).collect()} == cases
+    assert one(spark, text.infer_department([F.lit("x"), F.lit(None).cast("string")], F.array(F.lit("none"), F.lit("Hisstory")), aliases)) == "History"
