@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions import rules
+from siltstone.functions import fuzzy, keys, rules
 from siltstone.functions.text import text
 
 
-def issues(url: Column, title: Column, content: Column, department: Column, page_type: Column, n_sections: Column, departments: Sequence[str] = (), page_types: Sequence[str] = ()) -> Column:
-    """An array of struct(field, message, severity); errors first of their fields, warnings kept beside good rows."""
+def issues(url: Column, title: Column, content: Column, department: Column, page_type: Column, n_sections: Column, departments: Sequence[str] = (), page_types: Sequence[str] = (), aligned: bool = False) -> Column:
+    """An array of struct(field, message, severity); errors first of their fields, warnings kept beside good rows. With aligned, also a title and content unlike the URL's slug."""
 
     def issue(when: Column, field: str, message: str, severity: str) -> Column:
         return F.when(when, F.struct(F.lit(field).alias("field"), F.lit(message).alias("message"), F.lit(severity).alias("severity")))
@@ -27,6 +27,9 @@ def issues(url: Column, title: Column, content: Column, department: Column, page
         out.append(issue(department.isNotNull() & ~department.isin(list(departments)), "department", "unknown", "error"))
     if page_types:
         out.append(issue(page_type.isNotNull() & ~page_type.isin(list(page_types)), "page_type", "unknown", "error"))
+    if aligned:
+        slug, evidence = keys.slug_words(url), F.concat_ws(" ", text(title), F.substring(text(content), 1, 1000))
+        out.append(issue((slug != "") & (F.trim(evidence) != "") & (fuzzy.token_set_ratio(slug, evidence) < 25), "title", "low similarity to content", "warning"))
     return F.array_compact(F.array(*out))
 
 

@@ -164,3 +164,10 @@ def test_streams_match_batch(spark, tmp_path):
     assert n == events.count()
     live = sessions.run_to_memory(sessions.live_entries(sessions.read_table_stream(spark, str(tmp_path / "events"), schema).withColumn("cache_key", F.col("user_id"))), "live", str(tmp_path / "c3"))
     assert live.count() == events.select("user_id").distinct().count()
+
+
+def test_content_unlike_its_url_gets_a_warning(spark):
+    rows = spark.createDataFrame([(1, "https://a.org/x/wave-optics", "Wave optics", "wave optics and lenses " * 20), (2, "https://a.org/x/zzzz-qqqq", "Baking", "bread and flour " * 25), (3, "https://a.org/", "Baking bread", "bread and flour " * 25)], "k long, u string, t string, c string")
+    none = F.lit(None).cast("string")
+    got = {r["k"]: [(x["field"], x["severity"]) for x in r["i"]] for r in rows.select("k", validate.issues(F.col("u"), F.col("t"), F.col("c"), none, none, F.lit(1), aligned=True).alias("i")).collect()}
+    assert got[1] == [] and got[3] == [] and ("title", "warning") in got[2]
