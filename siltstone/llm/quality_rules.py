@@ -2,8 +2,9 @@
 
 Every measure and every rule is a built-in expression over the row, so the pass needs no shuffle, no Python and no
 grouping, and a hot source or a group of copies costs what its rows cost. Null and empty texts have no words: all their
-measures are 0 and the base rule on n_words fails them. Repeated rows give repeated results; further columns are kept
-out of the result, whatever they are called.
+measures are 0 and the base rule on n_words fails them. A very long text is measured whole, in time n log n of its words.
+Repeated rows give repeated results, an empty table an empty result; further columns are kept out of the result, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -48,34 +49,63 @@ METHOD_RULES = (
 )
 
 
+def _covered(starts: Column, n: int) -> Column:
+    """Words that windows of n words at these sorted starts cover."""
+    return F.aggregate(
+        F.transform(starts, lambda i, k: F.coalesce(F.least(F.lit(n), F.get(starts, k + 1) - i), F.lit(n)).cast("long")),
+        F.lit(0).cast("long"),
+        lambda a, x: a + x,
+    )
+
+
 def _repeat_words(words: Column, n: int = 3) -> Column:
-    """Words that lie in a window of n words found twice or more: sort window hashes, keep the starts of equal neighbours, add up the words they cover."""
-    start = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(start, lambda i: F.struct(F.xxhash64(*[F.get(words, i - 1 + j) for j in range(n)]).alias("h"), i.alias("i")))
-
-    def covered(s: Column) -> Column:
-        twice = F.filter(
-            F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])),
-            lambda i: i.isNotNull(),
-        )
-        return let(
-            F.array_sort(twice),
-            lambda p: F.aggregate(
-                F.transform(p, lambda i, k: F.coalesce(F.least(F.lit(n), F.get(p, k + 1) - i), F.lit(n))),
-                F.lit(0).cast("long"),
-                lambda a, x: a + x,
-            ),
-        )
+    """Words that lie in a window of n words found twice or more: sort window hashes, keep the starts of equal neighbours, add up the words they cover.
+
+    What is sorted are longs of a window's place below the upper bits of its hash. Neighbours are compared by whole hashes;
+    if two differ only in the bits that gave way, the text's whole hashes are sorted instead.
+    """
+    start = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    hashed = F.transform(start, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))
+
+    def whole(h: Column) -> Column:
+        def twice(s: Column) -> Column:
+            equal = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
+            return let(F.array_sort(F.transform(F.filter(s, equal), lambda x: x["i"])), lambda p: _covered(p, n))
+
+        return let(F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), twice)
+
+    def packed(h: Column, place: Column) -> Column:
+        def alike(s: Column, x: Column, k: Column) -> list[Column]:
+            return [F.get(s, k + d).bitwiseXOR(x) <= place for d in (-1, 1)]
+
+        def check(s: Column, x: Column, k: Column) -> Column:
+            """x's place if its hash is a neighbour's; -1 if no neighbour is alike in the upper bits; -2 if one is, but its hash is another."""
+            near = [F.coalesce(a & (F.get(s, k + d).bitwiseXOR(x) >= 0), F.lit(False)) for a, d in zip(alike(s, x, k), (-1, 1), strict=True)]
+            at = lambda y: F.get(h, y.bitwiseAND(place).cast("int"))
+            same = [a & (at(F.get(s, k + d)) == at(x)) for a, d in zip(near, (-1, 1), strict=True)]
+            return F.when(~(near[0] | near[1]), F.lit(-1)).when(same[0] | same[1], x.bitwiseAND(place).cast("int")).otherwise(F.lit(-2))
+
+        def checked(s: Column) -> Column:
+            return let(
+                F.filter(F.transform(s, lambda x, k: check(s, x, k)), lambda i: i != -1),
+                lambda p: F.when(F.exists(p, lambda i: i == -2), whole(h)).otherwise(let(F.sort_array(p), lambda q: _covered(q, n))),
+            )
+
+        def some(s: Column) -> Column:
+            found = F.filter(s, lambda x, k: alike(s, x, k)[0] | alike(s, x, k)[1])
+            return let(found, lambda c: F.when(F.size(c) == 0, F.lit(0).cast("long")).otherwise(checked(c)))
+
+        return let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("long")))), some)
 
-    return let(F.array_sort(hashed), covered)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.size(words) + 1)).cast("int")) - 1
+    return let(hashed, lambda h: let(mask, lambda m: packed(h, m)))
 
 
 def measures(text: Column) -> Column:
     """The struct of all measures of a text, as one expression."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bare = F.translate(text, SPACES, "")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
 
     def of(words: Column) -> Column:
         return let(
@@ -87,7 +117,7 @@ def measures(text: Column) -> Column:
                 F.size(full).cast("long").alias("n_lines"),
                 (F.size(full) - F.size(F.array_distinct(full))).cast("long").alias("n_dup_lines"),
                 _repeat_words(words).alias("n_repeat_words"),
-                F.size(F.filter(words, lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
+                F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
                 (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
                 (F.length(text) - F.length(F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", ""))).cast("long").alias("n_letters"),
             ),
