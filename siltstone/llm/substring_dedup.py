@@ -6,11 +6,12 @@ of fixed size, built from exact counts; a collision in it costs time, never a re
 meet, in the order of (doc_id, start), and are extended to the left and right by comparing what lies around the anchor:
 one hash for each of the up to WINDOW - ANCHOR + 1 windows that this anchor serves, which is how far an extension can
 matter for a repeat of WINDOW words. Windows with an earlier equal are kept as runs, which join into maximal repeats.
-Anchors with very many occurrences are dealt out by a salt first; what survives a salt meets once more.
+Anchors with very many occurrences are dealt out by salts first, as many as the root of their count; the first of each
+window in a salt meet once more, by window, so that neither step has a key of more than some root of the count.
 
 Each occurrence is compared by hash with those before it in one sorted pass, so a passage that a third of the corpus
 shares costs time in proportion to its occurrences: no pairs are made. Null and empty texts have no words and stay as
-they are. A null doc_id sorts first. Rows that repeat a doc_id are told apart by their text's hash; rows that repeat
+they are; very long texts are hashed in segments and cut whole. A null doc_id sorts first. Rows that repeat a doc_id are told apart by their text's hash; rows that repeat
 both are one document, and are cut alike. Empty tables give an empty result; further columns stay out.
 """
 
@@ -23,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from siltstone.llm.common import PLAIN, bit_table, checkpoint, gram_hashes, has_bit, partitions, row_groups, row_of, table, text_bytes, word_hashes
+from siltstone.llm.common import PLAIN, bit_table, gram_hashes, has_bit, mix, partitions, row_groups, salted, table, text_bytes, word_hashes
 
 WINDOW = 20
 ANCHOR = 8
 FILTER_BITS = 27
-SALTS = 32
-HOT_LEAST, HOT_SHARE = 1000, 4096
+#: An anchor is hot from this count on, or from this share of all anchors on if that is more: at most HOT_SHARE are.
+HOT_LEAST, HOT_SHARE = 1000, 1 << 17
 
 
 def anchors(h: np.ndarray, woff: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,32 +79,38 @@ def _counter(window: int, k: int):
     return count
 
 
-def _seeder(window: int, k: int, bitmap, hot, only_hot: bool, bits: int):
+def _seeder(window: int, k: int, bitmap, hot, bits: int):
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, often = bitmap.value, hot.value
+        seen, (often, salts) = bitmap.value, hot.value
         for batch in batches:
             doc, mark = (batch.column(c).to_numpy() for c in ("doc", "mark"))
             for i, _, h, woff in _groups(batch):
                 a, start, n = anchors(h, woff, window, k)
                 ok = has_bit(seen, a, bits)
-                ok &= np.isin(a, often) == only_hot
                 a, start, n = a[ok], start[ok], n[ok]
                 row = np.searchsorted(woff, start, "right") - 1
+                own_doc, own_mark = doc[i + row], mark[i + row]
+                is_hot, key = np.zeros(len(a), bool), a
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, a), len(often) - 1)
+                    is_hot = often[at] == a
+                    salt = mix(own_doc.view(np.uint64) ^ mix(own_mark.view(np.uint64))) % salts[at]
+                    key = np.where(is_hot, salted(a, salt), a)
                 full = gram_hashes(h, window)
                 ends = np.cumsum(n)
                 within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
                 payload = full[np.repeat(start, n) + within]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(payload.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(doc[i + row]), pa.array(mark[i + row]), pa.array(start - woff[row]), lists],
-                    ["anchor", "doc", "mark", "start", "windows"],
+                    [pa.array(key.view(np.int64)), pa.array(is_hot), pa.array(own_doc), pa.array(own_mark), pa.array(start - woff[row]), lists],
+                    ["key", "hot", "doc", "mark", "start", "windows"],
                 )
 
     return seed
 
 
 def _repeats(survivors: bool):
-    """Rows sorted by (key, doc, mark, start). Gives runs of windows with an earlier equal in their key, or rows of those without."""
+    """Rows sorted by (key, doc, mark, start). Gives runs of windows with an earlier equal in their key, or of hot rows the windows without."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -129,8 +137,10 @@ def _repeats(survivors: bool):
             last = np.sort(first[cols[0][first] == key[-1]])
             carry = [c[last] for c in cols]
             if survivors:
-                keep = ~late
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (batch.column("anchor").to_numpy()[row], doc[row], mark[row], place)] + [pa.array(win[keep].view(np.int64))], ["anchor", "doc", "mark", "start", "window"])
+                keep = np.flatnonzero(~late & batch.column("hot").to_numpy(zero_copy_only=False)[row])
+                own = win[keep]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32)), pa.array(own.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(own).view(np.int64), doc[row][keep], mark[row][keep], place[keep])] + [lists], ["key", "doc", "mark", "start", "windows"])
             else:
                 at = np.flatnonzero(late)
                 if len(at):
@@ -145,7 +155,8 @@ def _repeats(survivors: bool):
 
 
 RUNS = "doc long, mark long, start long, stop long"
-SEEDS = "anchor long, doc long, mark long, start long, windows array<long>"
+MEETINGS = "key long, doc long, mark long, start long, windows array<long>"
+SEEDS = "key long, hot boolean, doc long, mark long, start long, windows array<long>"
 
 
 def _key(doc_id: Column) -> Column:
@@ -157,47 +168,50 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, bits: int =
     spark = docs.sparkSession
     n = partitions(spark)
     named = docs.select(_key(F.col("doc_id")).alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    counts = checkpoint(named.select("text").mapInArrow(_counter(window, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1"))
+    counts = named.select("text").mapInArrow(_counter(window, k), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").persist(StorageLevel.DISK_ONLY)
     # At most 2^(bits-6) words of bits, however large the corpus.
     bitmap = bit_table(counts, "anchor", bits)
     total = counts.agg(F.sum("n")).first()[0] or 0
     # At most HOT_SHARE anchors can hold this share of all.
-    hot = np.array([r[0] for r in counts.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select("anchor").collect()], np.int64).view(np.uint64)
-    shared, often = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)
-    order = ["key", "doc", "mark", "start"]
-    seeds = named.mapInArrow(_seeder(window, k, shared, often, False, bits), SEEDS).withColumnRenamed("anchor", "key")
-    runs = seeds.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_repeats(False), RUNS)
-    if len(hot):
-        # A hot anchor's occurrences meet by salt; the first of each salt meet again, at most SALTS for a distinct window.
-        seeds = named.mapInArrow(_seeder(window, k, shared, often, True, bits), SEEDS)
-        dealt = checkpoint(seeds.withColumn("key", F.xxhash64("anchor", F.pmod(F.xxhash64("doc", "mark"), F.lit(SALTS)))).repartition(n, "key").sortWithinPartitions(*order))
-        inner = dealt.mapInArrow(_repeats(False), RUNS)
-        kept = dealt.mapInArrow(_repeats(True), "anchor long, doc long, mark long, start long, window long")
-        meet = kept.select(F.col("anchor").alias("key"), "doc", "mark", "start", F.array("window").alias("windows"))
-        outer = meet.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_repeats(False), RUNS)
-        runs = runs.unionByName(inner).unionByName(outer)
+    found = counts.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).toArrow()
+    counts.unpersist()
+    often, times = found.column("anchor").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(often)
+    salts = np.ceil(np.sqrt(times[order])).astype(np.uint64)
+    shared, hot = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast((often[order], salts))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "key").sortWithinPartitions("key", "doc", "mark", "start")
+
+    dealt = met(named.mapInArrow(_seeder(window, k, shared, hot, bits), SEEDS))
+    runs = dealt.mapInArrow(_repeats(False), RUNS)
+    if len(often):
+        runs = runs.unionByName(met(dealt.mapInArrow(_repeats(True), MEETINGS)).mapInArrow(_repeats(False), RUNS))
     return runs
 
 
 def _cutter(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-                words = (text.as_py() or "").encode().split()
-                keep = None
-                if runs.is_valid:
-                    keep = np.zeros(len(words) + 1, np.int64)
-                    ends = np.array([(r["start"].as_py(), r["stop"].as_py()) for r in runs], np.int64)
-                    np.add.at(keep, ends[:, 0], 1)
-                    np.add.at(keep, ends[:, 1] - 1 + window, -1)
-                    keep = np.cumsum(keep)[:-1] == 0
-                left = words if keep is None else list(compress(words, keep))
-                out.append((len(words), len(words) - len(left), b" ".join(left)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].decode() for x in out], pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
+            _, offs = text_bytes(batch.column("text"))
+            for i, j in row_groups(offs):
+                yield piece(batch.slice(i, j - i))
+
+    def piece(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_words, n_removed, kept = [], [], []
+        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
+            words = (text.as_py() or "").encode().split()
+            left = words
+            if runs.is_valid:
+                covered = np.zeros(len(words) + 1, np.int64)
+                fields = runs.values
+                np.add.at(covered, fields.field("start").to_numpy(), 1)
+                np.add.at(covered, fields.field("stop").to_numpy() - 1 + window, -1)
+                left = list(compress(words, np.cumsum(covered)[:-1] == 0))
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(left))
+            kept.append(b" ".join(left))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return cut
 
