@@ -3,12 +3,13 @@
 Documents are counted by exact word length. Every source takes whole passes over its documents while its target holds
 them; the rest of its budget is fitted on its length counts: an even share of each length, then single documents from
 the longest length down, then a bounded-knapsack table over the last DP_CAP words. Within a length, documents are taken
-in the order of a seeded hash, so reruns agree. No text is shuffled: only (doc_id, source, size) rows are.
+in the order of a seeded hash of doc_id and text, so reruns agree. Texts are read twice: once to be counted, of which slim
+rows (source, size, slice of the hash) are written, and once for the result, whose rows are exchanged once, with the
+columns that the caller keeps.
 
-Null texts have size 0 and are taken 0 words; a null source is a source of its own, last in order; repeated rows are
-documents of their own, and ties of the seeded hash between equal rows are the same row either way. Empty tables give an
-empty result. Further columns are kept; those that
-bear a name of OUT give way.
+Null texts have size 0 and are taken 0 words; a very long text is counted whole; a null source is a source of its own,
+last in order; repeated rows are documents of their own, and ties of the seeded hash between equal rows are the same row
+either way. Empty tables give an empty result. Further columns are kept; those that bear a name of OUT give way.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, word_array
+from siltstone.llm.common import Scratch, table, word_array
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -89,18 +90,23 @@ def fit(counts: dict[int, int], budget: int, cap: int = DP_CAP) -> dict[int, int
     return {n: k for n, k in take.items() if k}
 
 
+PLAN = "p_null boolean, p_source string, p_size long, source_size long, target double, passes long, picked long"
+
+
 def _plan(targets: dict[str | None, float], sizes: dict[str | None, int], cap: int):
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                source = row.source if isinstance(row.source, str) else None
-                counts = {int(x["__size"]): int(x["n"]) for x in row.counts}
+                source = None if row.own_null else row.own_source
+                counts = {int(x["own_size"]): int(x["n"]) for x in row.counts}
                 whole = sizes[source]
                 budget = round(targets[source])
                 passes = budget // whole if whole else 0
                 took = fit(counts, budget - passes * whole, cap)
                 lengths = sorted(counts)
-                yield pd.DataFrame({"p_source": [source] * len(lengths), "p_size": lengths, "passes": passes, "picked": [took.get(n, 0) for n in lengths]})
+                yield pd.DataFrame(
+                    {"p_null": row.own_null, "p_source": row.own_source, "p_size": lengths, "source_size": whole, "target": targets[source], "passes": passes, "picked": [took.get(n, 0) for n in lengths]}
+                )
 
     return plan
 
@@ -108,46 +114,41 @@ def _plan(targets: dict[str | None, float], sizes: dict[str | None, int], cap: i
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = DP_CAP) -> DataFrame:
     """docs with size, source_size, target and repeats (how often the mix takes the document)."""
     kept = [c for c in docs.columns if c not in OUT]
-    sized = docs.withColumn("__size", F.size(word_array(F.col("text"))).cast("long"))
-    counted = sized.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("n"))
-    by_source = counted.groupBy("source").agg(F.sum(F.col("__size") * F.col("n")).alias("words"))
-    sizes = {r["source"]: r["words"] or 0 for r in by_source.collect()}  # one row a source
+    order = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 40))
+    own = {
+        "own_null": F.col("source").isNull(),
+        "own_source": F.coalesce(F.col("source"), F.lit("")),
+        "own_size": F.size(word_array(F.col("text"))).cast("long"),
+        "own_slice": (order / F.lit((1 << 40) // SLICES)).cast("int"),
+    }
+    length, key = ["own_null", "own_source", "own_size"], list(own)
+    slices = Scratch(docs.sparkSession, "mix").put(docs.select(*[c.alias(k) for k, c in own.items()]).groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    counted = slices.groupBy(*length).agg(F.sum("n").alias("n"))
+    by_source = counted.groupBy("own_null", "own_source").agg(F.sum(F.col("own_size") * F.col("n")).alias("words"))
+    sizes = {None if r["own_null"] else r["own_source"]: r["words"] or 0 for r in by_source.collect()}  # one row a source
     targets = water_fill(sizes, weights, share)
     # A source's counts are bounded by the number of distinct lengths, not of documents.
-    planned = (
-        counted.groupBy("source")
-        .agg(F.collect_list(F.struct("__size", "n")).alias("counts"))
-        .mapInPandas(_plan(targets, sizes, cap), "p_source string, p_size long, passes long, picked long")
-    )
+    planned = counted.groupBy("own_null", "own_source").agg(F.collect_list(F.struct("own_size", "n")).alias("counts")).mapInPandas(_plan(targets, sizes, cap), PLAN)
     # The first `picked` documents of a length in seeded order: count by slice of the hash, rank only inside a slice.
-    order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40))
-    ranked = sized.withColumn("__order", order).withColumn("__slice", (F.col("__order") / F.lit((1 << 40) // SLICES)).cast("int"))
-    key = ["source", "__size"]
-    below = Window.partitionBy(*key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = ranked.groupBy(*key, "__slice").agg(F.count(F.lit(1)).alias("n")).withColumn("__below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    cuts = slices.join(planned, slices["source"].eqNullSafe(planned["p_source"]) & (slices["__size"] == planned["p_size"])).select(
-        F.col("source").alias("__c_source"), F.col("__size").alias("__c_size"), F.col("__slice").alias("__c_slice"), F.col("passes").alias("__passes"), (F.col("picked") - F.col("__below")).alias("__picked")
-    )
-    inside = Window.partitionBy(*key, "__slice").orderBy("__order", "doc_id")
-    named = [s for s in targets if s is not None]
-    none = F.struct(F.lit(int(sizes.get(None, 0))).cast("long").alias("w"), F.lit(float(targets.get(None, 0.0))).alias("t"))
-    facts = F.create_map(*[x for s in named for x in (F.lit(s), F.struct(F.lit(int(sizes[s])).cast("long").alias("w"), F.lit(float(targets[s])).alias("t")))]) if named else None
-    fact = F.when(F.col("source").isNull(), none).otherwise(facts[F.col("source")]) if named else none
-    joined = ranked.withColumn("__rank", F.row_number().over(inside)).join(
-        cuts, F.col("source").eqNullSafe(F.col("__c_source")) & (F.col("__size") == F.col("__c_size")) & (F.col("__slice") == F.col("__c_slice"))
-    )
+    below = Window.partitionBy(*length).orderBy("own_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = slices.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    cuts = before.join(planned, [F.col(a) == F.col(b) for a, b in zip(length, ("p_null", "p_source", "p_size"), strict=True)])
+    cuts = cuts.select(*key, F.struct("source_size", "target", "passes", (F.col("picked") - F.col("before")).alias("picked")).alias("own_cut"))
+    # The caller's columns travel under numbers, so that no name of theirs meets one of these.
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], order.alias("own_order"), *[c.alias(k) for k, c in own.items()])
+    inside = Window.partitionBy(*key).orderBy("own_order")
+    joined = wide.withColumn("own_rank", F.row_number().over(inside)).join(cuts, key)
     return joined.select(
-        *kept,
-        F.col("__size").alias("size"),
-        fact["w"].alias("source_size"),
-        fact["t"].alias("target"),
-        (F.col("__passes") + (F.col("__rank") <= F.col("__picked")).cast("long")).alias("repeats"),
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
+        F.col("own_size").alias("size"),
+        "own_cut.source_size",
+        "own_cut.target",
+        (F.col("own_cut.passes") + (F.col("own_rank") <= F.col("own_cut.picked")).cast("long")).alias("repeats"),
     )
 
 
 def op9_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "source")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "source")
 
 
 QUERIES = {"op9_budget_mix": op9_budget_mix}
