@@ -5,12 +5,13 @@ three letters and the word itself (a learned lexicon), hashed into one table of
 the languages of neighbouring words are learned too. Marginals come from exact forward-backward passes over whole texts,
 done in blocks of words at once. A text's language is that with the largest mean marginal, its score that mean.
 
-Training takes a bounded sample of labelled rows: about TRAIN_ROWS rows a language, chosen by a hash of doc_id, of a
-longer text one window of TRAIN_CHARS characters at a hashed place. Half of the training sequences are put together from
+Training takes a bounded sample of labelled rows: about TRAIN_ROWS different texts a language, chosen by a hash of the
+text, so that copies and rows with equal or null doc_ids take no others' places; of a longer text one window of
+TRAIN_CHARS characters at a hashed place. Half of the training sequences are put together from
 short pieces of several texts, so that switches are learned. Prediction reads whole texts only, no label, source or id.
 
 Null texts and texts without a letter are `und` with score 0, and so is every text if nothing was learned (an empty
-table, or no labels). Rows without a doc_id count as remainder 0. Repeated rows get equal rows; further columns are
+table, or no labels). A very long text is labelled whole, in one piece. Rows without a doc_id count as remainder 0. Repeated rows get equal rows; further columns are
 kept out of the result.
 """
 
@@ -254,16 +255,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, spl
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     if split:
         known = known.filter(remainder(F.col("doc_id"), split[0]) != split[1])
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    found = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
+    counts = {r["lang"]: r["n"] for r in found.collect()}  # one row a language: its different texts
     if not counts:
         return Crf([])
-    place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    # The hash lets through twice the rows wanted on average, and the first of them in its order are taken.
+    place = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30))
+    # The hash lets through twice the texts wanted on average, and the first of them in its order are taken. Copies are one text.
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1 << 30, int((1 << 30) * 2 * rows / n)) if n > 2 * rows else 1 << 30))])
-    window = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1).cast("int"), F.lit(chars))
-    chosen = known.withColumn("place", place).filter(F.col("place") < limit[F.col("lang")]).select("lang", "place", "doc_id", window.alias("text")).orderBy("place", "doc_id", "text").limit(4 * rows * len(counts)).collect()
+    window = F.substring(F.col("text"), (F.pmod(F.xxhash64("text", F.lit(23)), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1).cast("int"), F.lit(chars))
+    chosen = known.withColumn("place", place).filter(F.col("place") < limit[F.col("lang")]).select("lang", "place", window.alias("text")).groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
     langs, texts, labels, taken = sorted(counts), [], [], {}
-    for r in chosen:
+    for r in sorted(chosen, key=lambda r: (r["place"], r["lang"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= rows:
             texts.append(r["text"])
