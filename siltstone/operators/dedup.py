@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fuzzy
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
+    """df cut off from its lineage, in the cluster's shared folder; one of this machine's serves only where all runs on it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir is not set: iterations need a folder that the driver and all executors see")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -53,26 +61,46 @@ def sequential_two_key(df: DataFrame, seq: str, one: str, two: str) -> DataFrame
             return state.select(F.col("seq").alias(seq), "status", "reason")
 
 
-def near_duplicate_flags(df: DataFrame, seq: str, text: str, least: float = 95.0, most_in: int = 200) -> DataFrame:
+def near_duplicate_flags(df: DataFrame, seq: str, text: str, least: float = 95.0) -> DataFrame:
     """(seq, near_duplicate_of): the earliest earlier row whose token set is over `least` per cent alike.
 
-    Candidates: each row looks up its three rarest tokens among all tokens of the other rows, so that a row that another
-    holds finds it; equal token sets meet by their own key. Tokens of more than most_in rows are no keys, which bounds the
-    candidates of a token: a row made of such tokens alone is matched by equality only.
+    A pair is alike by its shared tokens if these hold over least / (200 - least) of the letters of one of its two texts, so
+    that only a known share of that text's letters may be missing. Each text posts its rarest tokens, up to twice that share:
+    a text alike has at least half of them by letters. All such pairs meet, however frequent their tokens are, and only those
+    with letters enough are compared. Two rounds: each row with the two rows that most of its posted tokens name as their
+    earliest, which settles large groups of copies with two comparisons a row; then, before the partner so found, with all
+    others. Pairs alike in the letters of different tokens are found where they share as much of some text's rare tokens.
+    Rows of one token set are one row, the earliest, which the later ones name unless it names another.
     """
-    base = df.select(F.col(seq).alias("seq"), F.array_sort(F.array_distinct(F.split(F.col(text), " "))).alias("set"))
+    base = df.select(F.col(seq).alias("seq"), F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != ""))).alias("set"))
     same = base.select("seq", F.md5(F.array_join("set", " ")).alias("k"))
-    equal = same.groupBy("k").agg(F.min("seq").alias("ref"))
-    firsts = same.join(equal, "k").select("seq", "ref")
-    reps = base.join(firsts.filter("seq = ref").select("seq"), "seq", "left_semi")
+    firsts = same.join(same.groupBy("k").agg(F.min("seq").alias("ref")), "k").select("seq", "ref")
+    reps = checkpoint(base.join(firsts.filter("seq = ref").select("seq"), "seq", "left_semi").filter(F.size("set") > 0))
     words = reps.select("seq", F.explode("set").alias("w"))
-    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ranked = words.join(freq, "w").groupBy("seq").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, 3).alias("rare"))
-    posted = ranked.select("seq", F.explode("rare").alias("p")).select("seq", F.col("p.w").alias("w"), F.col("p.n").alias("n")).filter(F.col("n") <= most_in)
-    other = words.withColumnRenamed("seq", "other")
-    pairs = posted.join(other, "w").filter("seq <> other").select(F.greatest("seq", "other").alias("x"), F.least("seq", "other").alias("y")).distinct()
+    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    row = Window.partitionBy("seq")
+    ranked = words.join(freq, "w").withColumn("size", F.length("w") + 1)
+    ranked = ranked.withColumn("rarer", F.coalesce(F.sum("size").over(row.orderBy("n", "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = ranked.withColumn("missing", (1 - least / (200.0 - least)) * F.sum("size").over(row) + 1).filter(F.col("rarer") <= 2 * F.col("missing"))
+    posted = checkpoint(ranked.withColumn("need", F.sum("size").over(row) - F.col("missing")).filter("n > 1").select("w", "seq", "size", "need", "first"))
     sets = reps.select("seq", F.array_join("set", " ").alias("t"))
-    checked = pairs.join(sets.select(F.col("seq").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("seq").alias("y"), F.col("t").alias("ty")), "y")
-    near = checked.filter(fuzzy.token_set_ratio("tx", "ty") > least).groupBy("x").agg(F.min("y").alias("near"))
-    out = firsts.join(near, firsts["ref"] == near["x"], "left")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(x, near): the smallest partner of each later row x among pairs (a, b)."""
+        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).filter("x <> y").distinct()
+        both = pairs.join(sets.select(F.col("seq").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("seq").alias("y"), F.col("t").alias("ty")), "y")
+        return both.filter(fuzzy.token_set_ratio("tx", "ty") > least).groupBy("x").agg(F.min("y").alias("near"))
+
+    named = posted.filter("first < seq").groupBy("seq", "first").agg(F.sum("size").alias("size"))
+    hubs = named.withColumn("k", F.row_number().over(row.orderBy(F.desc("size"), "first"))).filter("k <= 2").select(F.col("seq").alias("a"), F.col("first").alias("b"))
+    bound = checkpoint(reps.select("seq").join(alike(hubs), F.col("seq") == F.col("x"), "left").select("seq", F.coalesce("near", "seq").alias("bound"), "near"))
+    # A pair's later row is the one that posts (mine) or the one that has what an earlier one posts (theirs).
+    mine = posted.join(bound, "seq").filter(F.col("first") < F.col("bound")).select("w", F.col("seq").alias("a"), "bound", "size", "need")
+    mine = mine.join(words.select("w", F.col("seq").alias("b")), "w").filter("b < bound")
+    theirs = words.join(posted.groupBy("w").agg(F.min("seq").alias("first_post")), "w").join(bound, "seq").filter(F.col("first_post") < F.col("bound")).select("w", F.col("seq").alias("a"), "bound")
+    theirs = theirs.join(posted.select("w", F.col("seq").alias("b"), "size", "need"), "w").filter("b < bound")
+    enough = [side.groupBy("a", "b").agg(F.sum("size").alias("size"), F.first("need").alias("need")).filter("size >= need").select("a", "b") for side in (mine, theirs)]
+    earlier = alike(enough[0].unionByName(enough[1])).withColumnRenamed("near", "earlier")
+    best = bound.join(earlier, F.col("seq") == F.col("x"), "left").select(F.col("seq").alias("x"), F.coalesce("earlier", "near").alias("near"))
+    out = firsts.join(best, firsts["ref"] == best["x"], "left")
     return out.select("seq", F.coalesce("near", F.when(F.col("ref") != F.col("seq"), F.col("ref"))).alias("near_duplicate_of"))

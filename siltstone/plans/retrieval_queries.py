@@ -67,35 +67,33 @@ def _dense_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.dense(table(spark, d, "embeddings"), _dense_queries(spark, d), "vec_id", dim=64)
-
-
 def ret_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = retrieval.top_k(_dense(spark, d), "query_id", [F.desc("score"), F.asc("vec_id")], 20)
+    near = retrieval.dense(table(spark, d, "embeddings"), _dense_queries(spark, d), "vec_id", 20, dim=64)
+    rows = retrieval.top_k(near, "query_id", [F.desc("score"), F.asc("vec_id")], 20)
     return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score")
 
 
 def ret_dense_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Only other vectors of the label one higher; a query without any searches all others."""
-    rows = retrieval.with_fallback(_dense(spark, d).filter("vec_id <> query_id"), "query_id", F.col("label") == F.col("query_label") + 1)
+    queries = _dense_queries(spark, d).withColumn("want", F.col("query_label") + 1)
+    near = retrieval.dense(table(spark, d, "embeddings"), queries, "vec_id", 5, others=True, match=("label", "want"), dim=64)
+    rows = retrieval.with_fallback(near, "query_id", F.col("ok"))
     return retrieval.top_k(rows, "query_id", [F.desc("score"), F.asc("vec_id")], 5).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "score", "fallback")
 
 
 def cac_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The best other vector by cosine, and whether it is a hit at 0.88."""
-    q = _dense_queries(spark, d)
-    rows = table(spark, d, "embeddings").join(F.broadcast(q)).filter("vec_id <> query_id").withColumn("similarity", F.round(retrieval.cosine(F.col("embedding"), F.col("query_vector")), 6))
-    return retrieval.top_k(rows, "query_id", [F.desc("similarity"), F.asc("vec_id")], 1).select("query_id", "vec_id", "similarity", (F.col("similarity") >= 0.88).alias("hit"))
+    near = retrieval.dense(table(spark, d, "embeddings"), _dense_queries(spark, d), "vec_id", 1, cosine=True, others=True, dim=64)
+    return retrieval.top_k(near, "query_id", [F.desc("score"), F.asc("vec_id")], 1).select("query_id", "vec_id", F.col("score").alias("similarity"), (F.col("score") >= 0.88).alias("hit"))
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense pools of 20 for each benchmark item that has a vector of its own number."""
     lexical = retrieval.top_k(_scored(spark, d), "query_id", [F.desc("bm25"), F.asc("doc_id")], 20)
-    items = table(spark, d, "benchmark").select("item_id")
+    items = table(spark, d, "benchmark").select("item_id").distinct()
     vectors = table(spark, d, "embeddings")
-    own = vectors.join(F.broadcast(items), vectors["vec_id"] == items["item_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    near = retrieval.dense(vectors, own, "vec_id", dim=64)
+    own = vectors.join(items, vectors["vec_id"] == items["item_id"]).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    near = retrieval.dense(vectors, own, "vec_id", 20, dim=64)
     near = retrieval.top_k(near.select("query_id", F.col("vec_id").alias("doc_id"), "score"), "query_id", [F.desc("score"), F.asc("doc_id")], 20)
     return retrieval.fuse(lexical, near, "query_id", "doc_id")
 
