@@ -53,6 +53,27 @@ def parse_judge(said: Column) -> Column:
     return F.struct(risk.alias("risk"), claims.alias("claims"), parsed["risk"].isNotNull().alias("judged"))
 
 
+def judged(said: Column, least: float = 0.5) -> Column:
+    """struct(risk, claims, judged, safe) of what a judge said; null, as an error of the judge leaves it, and words without a verdict are safe."""
+    j = parse_judge(said)
+    return F.struct(j["risk"].alias("risk"), j["claims"].alias("claims"), j["judged"].alias("judged"), (j["risk"] < least).alias("safe"))
+
+
+def context(queries: DataFrame, blocks: DataFrame, query: str, position: str, score: str, section: str, page: str, label: str, body: str) -> DataFrame:
+    """A row for each of queries: grounding, diversity, warnings and the prompt of its blocks; a query without blocks has the warning no_blocks and an empty prompt."""
+    have = grounding(blocks, query, score, section, page).join(prompt(blocks, query, position, label, body), query)
+    rows = queries.select(query).distinct().join(have, query, "left")
+    empty = F.col("n_blocks").isNull()
+    return rows.select(
+        query,
+        F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
+        F.coalesce("grounding", F.lit(0.0)).alias("grounding"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sections", "n_pages")],
+        F.when(empty, F.array(F.lit("no_blocks"))).otherwise(F.col("warnings")).alias("warnings"),
+        F.coalesce("prompt", F.lit("")).alias("prompt"),
+    )
+
+
 def confidence(ground: Column, risk: Column, cover: Column, mean_score: Column) -> Column:
     return F.round(0.4 * ground + 0.3 * (1 - risk) + 0.2 * cover + 0.1 * mean_score + 1e-9, 4)
 

@@ -60,6 +60,12 @@ def contamination(page: Column, component_types: Column, topic_names: Column, ex
     return F.array_distinct(F.concat(F.filter(component_types, lambda x: x.isin(list(off))), F.transform(strange, lambda x: F.concat(F.lit("off_topic:"), x))))
 
 
+def with_documents(chunks: DataFrame, docs: DataFrame, chunk_doc: str, doc: str, columns: Sequence[str]) -> DataFrame:
+    """chunks with columns of their documents, empty where there is none. Of rows that repeat a document the smallest counts."""
+    known = docs.groupBy(F.col(doc).alias("_doc")).agg(*[F.min(c).alias(c) for c in columns])
+    return chunks.join(known, F.col(chunk_doc) == F.col("_doc"), "left").withColumns({c: F.coalesce(c, F.lit("")) for c in columns}).drop("_doc")
+
+
 def section_path(*parts: Column) -> Column:
     """Parts in order, generic and empty ones left out, each once in any case."""
     kept = F.filter(F.array(*parts), lambda x: x.isNotNull() & ~text.is_generic_heading(x))

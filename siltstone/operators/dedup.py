@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fuzzy
+from siltstone.sources.tables import shared_base
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the cluster's shared folder; one of this machine's serves only where all runs on it."""
+    """df cut off from its lineage, in the cluster's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir is not set: iterations need a folder that the driver and all executors see")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

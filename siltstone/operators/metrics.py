@@ -48,3 +48,47 @@ def keyword_coverage(keywords: Column, texts: Column) -> Column:
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def corpus_report(chunks: DataFrame, doc: str, seq: str, canonical: str, duplicate: str) -> DataFrame:
+    """One row: chunks, documents, duplicate chunks, and canonical documents, each judged by its first chunk alone."""
+    by_doc = chunks.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(duplicate).cast("long")).alias("d"), F.min_by(canonical, seq).alias("c"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_doc.agg(n("n").alias("chunks"), F.count(F.lit(1)).alias("documents"), n("d").alias("duplicate_chunks"), n(F.col("c").cast("long")).alias("canonical_documents"))
+
+
+def semantic_report(chunks: DataFrame, reusable: str, contaminated: str, mixed: str, priority: str) -> DataFrame:
+    """One row: reusable, contaminated and mixed chunks, those with none of these marks, and the mean priority, 4 digits."""
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    marks = [F.coalesce(F.col(c), F.lit(False)) for c in (reusable, contaminated, mixed)]
+    return chunks.agg(
+        F.count(F.lit(1)).alias("chunks"),
+        *[n(m).alias(name) for m, name in zip(marks, ("reusable", "contaminated", "mixed"), strict=True)],
+        n(~(marks[0] | marks[1] | marks[2])).alias("clean"),
+        F.round(F.avg(priority) + 1e-9, 4).alias("mean_priority"),
+    )
+
+
+def context_quality(contexts: DataFrame, tokens: str) -> DataFrame:
+    """One row over contexts (grounding, n_sections, warnings): means, and the share of those of low confidence."""
+    low = F.array_contains("warnings", "low_confidence") | F.array_contains("warnings", "no_blocks")
+    return contexts.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.round(F.avg("grounding") + 1e-9, 4).alias("mean_grounding"),
+        F.round(F.avg("n_sections") + 1e-9, 4).alias("mean_sections"),
+        F.round(F.avg(tokens) + 1e-9, 4).alias("mean_tokens"),
+        F.round(F.avg(low.cast("double")) + 1e-9, 4).alias("low_confidence_share"),
+    )
+
+
+def answer_means(answers: DataFrame) -> DataFrame:
+    """One row over answers (grounding, coverage, risk, judged, abstained): means of those not abstained, of risk only where judged."""
+    said, mean = ~F.col("abstained"), lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)) + 1e-9, 4)
+    return answers.agg(
+        F.count(F.lit(1)).alias("answers"),
+        mean(F.when(said, F.col("grounding"))).alias("mean_grounding"),
+        mean(F.when(said, F.col("coverage"))).alias("mean_coverage"),
+        mean(F.when(said & F.col("judged"), F.col("risk"))).alias("mean_risk"),
+        mean(F.when(said & F.col("judged"), (F.col("risk") >= 0.5).cast("double"))).alias("unsafe_share"),
+        mean(F.col("abstained").cast("double")).alias("abstention_rate"),
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import curation_queries, retrieval_queries, text_queries
+from siltstone.plans import curation_queries, retrieval_queries, service_queries, text_queries
 
-MODULES = (text_queries, curation_queries, retrieval_queries)
+MODULES = (text_queries, curation_queries, retrieval_queries, service_queries)
 
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

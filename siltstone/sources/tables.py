@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors see; a temporary folder serves only where all runs on this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors see is needed")
+        base = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh name in the shared folder."""
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], keep_bad: bool = False) -> DataFrame:
     """All columns as strings; malformed records are dropped, or kept in the column _bad."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, BAD]])
@@ -22,8 +42,10 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str], keep_bad: b
     return rows if keep_bad else rows.filter(F.col(BAD).isNull()).drop(BAD)
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = True) -> DataFrame:
-    """JSON lines (blank ones skipped), or one array of records."""
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = True, missing_ok: bool = False) -> DataFrame:
+    """JSON lines (blank ones skipped), or one array of records a file; with missing_ok a path that is not there is an empty table."""
+    if missing_ok and not _exists(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
@@ -47,25 +69,88 @@ def validate_rows(df: DataFrame, url: str = "url", bodies: Sequence[str] = ("htm
     return df.withColumn("error", F.when(F.coalesce(F.trim(F.col(url)), F.lit("")) == "", "missing_url").when(body.isNull(), "missing_body"))
 
 
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        rows = batch.column("r").to_pylist()
+        if rows:
+            lines = [("[" if held is None and i == 0 else "") + r for i, r in enumerate(rows)]
+            out = ([held + ","] if held is not None else []) + [x + "," for x in lines[:-1]]
+            held = lines[-1]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array([held + "]"] if held is not None else [], pa.string())], ["value"])
+
+
 def write_json(df: DataFrame, path: str, lines: bool = True) -> None:
-    """JSON lines, or one JSON array a file."""
+    """JSON lines, or one JSON array a file, as many as df has partitions; a row is held at a time."""
     if lines:
         df.write.mode("overwrite").json(path)
     else:
-        rows = df.select(F.to_json(F.struct(*df.columns)).alias("r")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
-        rows.write.mode("overwrite").text(path)
+        df.select(F.to_json(F.struct(*df.columns)).alias("r")).mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_reports(reports: Mapping[str, DataFrame], folder: str) -> list[str]:
+    """Each report, a few rows, as one JSON file in a folder of its name; returns the folders."""
+    for name, df in reports.items():
+        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in reports]
+
+
+def embedded(chunks: DataFrame, vectors: DataFrame, key: str, model: str, at: Column, vector: str = "vector") -> DataFrame:
+    """The chunks that have a vector, with embedding, dimension, embedded_at and embedding_model."""
+    rows = chunks.join(vectors.select(key, F.col(vector).alias("embedding")), key)
+    return rows.withColumns({"dimension": F.size("embedding"), "embedded_at": at, "embedding_model": F.lit(model)})
+
+
+#: The cache's table; by section, so that what is asked or purged by section reads and writes that section's files alone.
+CACHE_SCHEMA = "cache_key string, query string, answer string, section string, version string, created_at timestamp, last_used_at timestamp, hit_count long"
+CACHE_PARTITIONS = ("section",)
+
+
+def create_cache(spark: SparkSession, path: str) -> DataFrame:
+    """An empty cache table at path, if there is none, and the table as it is."""
+    if not _exists(spark, path):
+        spark.createDataFrame([], CACHE_SCHEMA).write.partitionBy(*CACHE_PARTITIONS).parquet(path)
+    return spark.read.schema(CACHE_SCHEMA).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back the table that a swap_in which was cut off had set aside."""
+    (at, fs), (old, _) = _hadoop(spark, path), _hadoop(spark, f"{path.rstrip('/')}.old")
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, at)
 
 
 def swap_in(df: DataFrame, path: str) -> None:
-    """Rewrites a table that df may read: to a staging folder first, which then takes its place."""
+    """Rewrites a table that df may read: to a staging folder first, which then takes its place.
+
+    The old table is set aside, not deleted, until the new one is there: whenever this is cut off, one of the two is whole,
+    and recover(), which the next swap_in calls, brings it back.
+    """
     spark = df.sparkSession
+    recover(spark, path)
     staging = f"{path.rstrip('/')}.staging"
     df.write.mode("overwrite").parquet(staging)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(staging), hadoop(path)):
+    (at, fs), (new, _), (old, _) = _hadoop(spark, path), _hadoop(spark, staging), _hadoop(spark, f"{path.rstrip('/')}.old")
+    if fs.exists(at) and not fs.rename(at, old):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(new, at):
         raise OSError(f"{staging} could not take the place of {path}")
+    fs.delete(old, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: Sequence[str] = (), order: str | None = None) -> DataFrame:
