@@ -185,3 +185,9 @@ SELECT d.doc_id, md5(coalesce(r.t, '')) AS digest, length(coalesce(r.t, ''))::BI
     "html_multi_article": r"SELECT page_id, len(regexp_extract_all(html, '(?i)<(article|h1)[\s>]')) > 2 AS multi_article FROM pages",
 }
 ORACLES["txt_fallback_sections"] = r"WITH t AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) SELECT conv_id, count(*) AS n_sections, md5(string_agg(role || ' turn=' || regexp_replace(trim(text), '\n[ \t]*\n', chr(10), 'g'), '~' ORDER BY turn)) AS digest FROM t WHERE trim(text) <> '' GROUP BY conv_id"
+ORACLES["key_uuid5"] = f"WITH h AS (SELECT doc_id, sha1(unhex('{keys.POINTS.hex}') || encode(doc_id::VARCHAR)) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id FROM h"
+ORACLES["dup_two_key"] = f"""WITH RECURSIVE p AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS i, {CANON.format('url')} AS u, sha256({FLAT.format(_STRIP.format('html'))}) AS c FROM pages),
+f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS page_id, []::VARCHAR[] AS us, []::VARCHAR[] AS cs, '' AS status, NULL::VARCHAR AS reason
+  UNION ALL SELECT i, page_id, CASE WHEN r IS NULL THEN list_append(us, u) ELSE us END, CASE WHEN r IS NULL THEN list_append(cs, c) ELSE cs END, CASE WHEN r IS NULL THEN 'kept' ELSE 'dropped' END, r
+  FROM (SELECT p.i, p.page_id, p.u, p.c, f.us, f.cs, CASE WHEN list_contains(f.us, p.u) THEN 'url' WHEN list_contains(f.cs, p.c) THEN 'content_hash' END AS r FROM f JOIN p ON p.i = f.i + 1))
+SELECT page_id, status, reason FROM f WHERE i > 0"""
