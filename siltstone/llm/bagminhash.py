@@ -295,21 +295,26 @@ def _sifted(rows: DataFrame, keys: DataFrame, outside: bool = False) -> DataFram
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, class_size and n_shingles for every row of docs, with `node`, the key of its text, and `comp`, that of its class."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", text_node())
     scratch = Scratch(docs.sparkSession, "near-duplicates")
+    found = _labelled(docs, n, threshold, bands, rows, scratch)
+    # Written, so that the join's sides are plain exchanges, of which Spark can split that of a large class.
+    least = scratch.put(found.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    return found.join(least, "comp", "left").select("doc_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("size", F.lit(1)).cast("long").alias("class_size"), F.col("n").alias("n_shingles"), "node", "comp")
+
+
+def _labelled(docs: DataFrame, n: int, threshold: float, bands: int, rows: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, node, n, comp) for every row of docs: the key of its text, its shingles and the key of its class."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("node", text_node())
     signed = scratch.put(named.mapInArrow(_signer(n, bands, rows), SIGNED))
     nodes = signed.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("keys").alias("keys"))
     buckets = nodes.select("node", "n", F.posexplode("keys").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = scratch.put(buckets.join(shared, "bucket"))
     found = signed.select("doc_id", "node", "n")
-    if met.limit(1).count():
-        comp = _classes(named.select("node", "text"), signed.select("node", "keys", "sketch"), met, n, threshold, bands * rows, scratch)
-        found = found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        found = found.withColumn("comp", F.col("node"))
-    least = found.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return found.join(least, "comp").select("doc_id", "class_id", "class_size", F.col("n").alias("n_shingles"), "node", "comp")
+    if not met.limit(1).count():
+        return found.withColumn("comp", F.col("node"))
+    comp = _classes(named.select("node", "text"), signed.select("node", "keys", "sketch"), met, n, threshold, bands * rows, scratch)
+    return found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _classes(texts: DataFrame, sketches: DataFrame, met: DataFrame, n: int, threshold: float, m: int, scratch: Scratch) -> DataFrame:
@@ -365,12 +370,12 @@ def _classes(texts: DataFrame, sketches: DataFrame, met: DataFrame, n: int, thre
     return scratch.put(comp)
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with one row of each class left: that of the smallest doc_id, and one of rows with equal doc_id and text."""
     scratch = Scratch(docs.sparkSession, "keep-one")
     rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "node")
-    named = scratch.put(near_duplicates(docs, **parameters).select("doc_id", "node", "comp", rank.alias("rank")))
-    chosen = named.groupBy("comp").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    named = scratch.put(_labelled(docs, n, threshold, bands, rows, scratch).select("doc_id", "node", "comp", rank.alias("rank")))
+    chosen = scratch.put(named.groupBy("comp").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
     # Only texts of classes of several rows are exchanged; all others stay.
     classes = scratch.put(named.join(chosen.select("comp", F.col("rank").alias("best")), "comp").select("node", "rank", "best").distinct())
     all_rows = docs.withColumn("node", text_node()) if "node" not in docs.columns else docs.withColumnRenamed("node", "__own").withColumn("node", text_node())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,20 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, a temporary folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that the driver and all executors see is needed")
+        base = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which the driver and all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """df.checkpoint() into the cluster's shared folder; a folder is set only where none is."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does only after the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder in an operator's course: compact, read back with known sizes, and dropped when done with."""
 
@@ -197,8 +216,3 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
         total += h[j : j + m] * np.uint64(factor)
         factor = factor * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
     return mix(total)
-
-
-def row_of(offs: np.ndarray) -> np.ndarray:
-    """For each element of rows on end, the number of its row."""
-    return np.repeat(np.arange(len(offs) - 1), np.diff(offs))
