@@ -2,8 +2,9 @@
 
 Texts are words (ASCII letters and digits and all characters beyond ASCII, A-Z lower-cased). Runs of words that any
 template knows are fed to the automaton, which gives, at each word, the longest match that ends there (matching
-statistics). Matches of MIN_MATCH words or more that cannot be extended are chained, per template, in the order of both
-the text and the template and over gaps of at most MAX_GAP words; a chain that covers a COVERED share of a template
+statistics); its suffix links give the other templates' shorter ones. Matches of MIN_MATCH words or more that cannot be
+extended in their template are chained, per template, in the order of both the text and the template and over gaps of at
+most MAX_GAP words; a chain that covers a COVERED share of a template, and lies in no better chain of another,
 gives its label and a span. Base labels come from places where one of four phrases stands. The automaton's size is that
 of the templates, a constant, and texts are read whole, in bounded pieces.
 
@@ -155,7 +156,8 @@ class Scanner:
         vocabulary = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
         self.sizes = [len(t) for t in texts]
-        self.automaton = Automaton([[number[w] for w in t] for t in texts])
+        self.sequences = [[number[w] for w in t] for t in texts]
+        self.automaton = Automaton(self.sequences)
         h = hash_words(vocabulary, ALNUM)
         order = np.argsort(h)
         self.known, self.number = h[order], order
@@ -185,15 +187,25 @@ class Scanner:
             yield int(first[f]), self.number[at[first[f] : first[f] + lens[f]]].tolist()
 
     def matches(self, first: int, tokens: list[int]) -> Iterator[tuple[int, int, int, int]]:
-        """(template, start in it, start in the text, length) of matches that cannot be extended to the right."""
+        """(template, start in it, start in the text, length) of matches that cannot be extended in their own template."""
         found = list(self.automaton.statistics(tokens))
         for i, (n, v) in enumerate(found):
-            if n >= MIN_MATCH and (i + 1 == len(found) or found[i + 1][0] <= n):
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            longer: set[tuple[int, int]] = set()
+            while n >= MIN_MATCH:  # along the suffix links are the places where only a part of the match ends
                 for template, end in self.automaton.ends[v]:
-                    yield template, end - n, first + i + 1 - n, n
+                    if (template, end) not in longer:
+                        longer.add((template, end))
+                        if after is None or end == self.sizes[template] or self.sequences[template][end] != after:
+                            yield template, end - n, first + i + 1 - n, n
+                v = self.automaton.link[v]
+                n = self.automaton.length[v]
 
     def spans(self, matched: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, covered share) of the best chain that ends at each match, those above COVERED only."""
+        """(template, start, end, covered share) of the best chain that ends at each match, those above COVERED only.
+
+        A chain inside one of more words of another template, or of a larger share of it, is that template's text, not one of its own.
+        """
         out = []
         by: dict[int, list[tuple[int, int, int]]] = {}
         for template, t, d, n in matched:
@@ -213,8 +225,9 @@ class Scanner:
                 best.append((got, start))
                 share = got / self.sizes[template]
                 if share >= COVERED:
-                    out.append((template, start, d + n, min(1.0, share)))
-        return out
+                    out.append((template, start, d + n, min(1.0, share), got))
+        kept = [c for c in out if not any(e[1] <= c[1] and c[2] <= e[2] and (e[4], e[3]) > (c[4], c[3]) and e[0] != c[0] for e in out)]
+        return [c[:4] for c in kept]
 
 
 def _scan(shared):
