@@ -64,17 +64,26 @@ def keep_lines(c: Column, rules: Sequence[str] = LINE_RULES, exact: Sequence[str
         full = F.filter(keyed, lambda x: x != "")
         return _let(full, lambda f: F.array_join(F.filter(f, lambda x, i: (i == 0) | (x != F.get(f, i - 1))), "\n"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        blank = x == ""
-        repeat = ~blank & (F.lower(x) == acc["previous"])
-        drop = repeat | (blank & ((F.size(acc["out"]) == 0) | (F.element_at(acc["out"], -1) == "")))
-        return F.struct(
-            F.when(drop, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"),
-            F.when(blank, acc["previous"]).otherwise(F.lower(x)).alias("previous"),
-        )
+    def numbered(k: Column) -> Column:
+        """Lines with a word as (x, its place among all, its place among these)."""
+        full = F.filter(F.transform(k, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["x"] != "")
+        return F.transform(full, lambda e, n: F.struct(e["x"].alias("x"), e["i"].alias("i"), n.alias("n")))
+
+    def written(kept: Column, k: Column, last: Column) -> Column:
+        """Kept lines, each after a blank one if one stands between it and the kept line before; what else stands there are repeats."""
+        gap = lambda e, p: (e["i"] - p["i"]) > (e["n"] - p["n"])
+        parts = F.transform(kept, lambda e, m: F.concat(F.when((m > 0) & gap(e, F.get(kept, m - 1)), F.lit("\n")).otherwise(F.lit("")), e["x"]))
+        end = F.struct(F.size(k).alias("i"), last.alias("n"))
+        return F.concat(F.array_join(parts, "\n"), F.when((F.size(kept) > 0) & gap(end, F.get(kept, F.size(kept) - 1)), F.lit("\n")).otherwise(F.lit("")))
+
+    def of(k: Column) -> Column:
+        def from_full(full: Column) -> Column:
+            kept = F.filter(full, lambda e, n: (n == 0) | (F.lower(e["x"]) != F.lower(F.get(full, n - 1)["x"])))
+            return _let(kept, lambda kept_: written(kept_, k, F.size(full)))
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("previous"))
-    return F.array_join(F.aggregate(keyed, start, fold, lambda acc: acc["out"]), "\n")
+        return _let(numbered(k), from_full)
+
+    return _let(keyed, of)
 
 
 def _any(x: Column, rules: Sequence[str]) -> Column:
@@ -183,22 +192,16 @@ def infer_department(columns: Sequence[Column], headings: Column, aliases: Mappi
 def fallback_sections(c: Column, heading: str = r"^[A-Z][^.!?]{2,60}$") -> Column:
     """Plain text as (heading, content): a block that looks like a heading opens a section if the one before has content."""
     blocks = F.filter(F.transform(F.split(text(c), r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
-    kind = "array<struct<heading:string,content:string>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit("Overview").alias("heading"), F.lit("").alias("content"))
-
-    def close(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.struct(acc["heading"].alias("heading"), acc["content"].alias("content"))))
-
-    def fold(acc: Column, b: Column) -> Column:
-        opens = b.rlike(heading)
-        full = acc["content"] != ""
-        return F.struct(
-            F.when(opens & full, close(acc)).otherwise(acc["out"]).alias("out"),
-            F.when(opens, b).otherwise(acc["heading"]).alias("heading"),
-            F.when(opens, F.lit("")).otherwise(F.concat(acc["content"], F.when(full, F.lit("\n")).otherwise(F.lit("")), b)).alias("content"),
-        )
 
-    return F.aggregate(blocks, start, fold, lambda acc: F.when(acc["content"] != "", close(acc)).otherwise(acc["out"]))
+    def sections(b: Column, opens: Column) -> Column:
+        """A section for each run of blocks between headings, under the last heading before it."""
+        place = F.transform(b, lambda x, i: i)
+        head = lambda i: F.coalesce(F.get(opens, i), F.lit(True))
+        first = F.filter(place, lambda i: ~F.get(opens, i) & ((i == 0) | head(i - 1)))
+        last = F.filter(place, lambda i: ~F.get(opens, i) & head(i + 1))
+        return F.zip_with(first, last, lambda i, j: F.struct(F.when(i == 0, F.lit("Overview")).otherwise(F.get(b, i - 1)).alias("heading"), F.array_join(F.slice(b, i + 1, j - i + 1), "\n").alias("content")))
+
+    return _let(blocks, lambda b: _let(F.transform(b, lambda x: x.rlike(heading)), lambda opens: sections(b, opens)))
 
 
 def split_large(heading: Column, content: Column, most: int = 1200) -> Column:
