@@ -2,11 +2,12 @@
 
 Everything on the main path is a built-in expression over the row. A pattern's places come from its matches and the
 pieces between them: a running sum of their lengths, in code points, gives starts and ends. Tokens of MIN_TOKEN or more
-characters that hold a letter and a digit are scored by the log-likelihood ratio of two first-order Markov models, a
-table of 65 x 65 values that is counted with Spark from labelled samples and is a literal of the plan. A token is a
-secret if its ratio is at least THRESHOLD a character, and added as a `markov` span if it overlaps no base span.
+characters with a letter among them are scored by the log-likelihood ratio of two first-order Markov models, a table of
+65 x 65 values that is counted with Spark from labelled samples and is a literal of the plan. A token is a secret if its
+ratio is at least THRESHOLD a character, or PLAIN_THRESHOLD if it has no digit, and it has MIN_DISTINCT different
+characters; it is added as a `markov` span if it overlaps no base span.
 
-Null and empty texts have no spans (base_sha256 is that of the empty string). Repeated rows give equal rows, empty tables
+A very long text is scanned whole, by the same expressions. Null and empty texts have no spans (base_sha256 is that of the empty string). Repeated rows give equal rows, empty tables
 an empty result. Further columns are kept by redact(), ignored by secrets().
 """
 
@@ -27,8 +28,12 @@ HEX = r"[0-9a-f]{32,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIZE = len(ALPHABET) + 1
 MIN_TOKEN = 16
-TOKEN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
+TOKEN = rf"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}"
 THRESHOLD = 0.6
+#: Words and identifiers without a digit are far more than those with one, and lie under this value.
+PLAIN_THRESHOLD = 1.0
+#: Rules and fillers such as `aaaa` are unlike both models.
+MIN_DISTINCT = 6
 SAMPLE = 6000
 KINDS = ("assign", "access", "hex", "markov")
 MASK = "[SECRET]"
@@ -167,13 +172,19 @@ def join_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def is_random(token: Column, model: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether the models take a token for a random string."""
+    least = F.when(token.rlike("[0-9]"), F.lit(threshold)).otherwise(F.lit(max(threshold, PLAIN_THRESHOLD)))
+    return (ratio(token, model) >= least) & (F.size(F.array_distinct(F.split(token, ""))) >= MIN_DISTINCT)
+
+
 def scan(text: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
     """struct(base, spans): base spans, and all spans, each sorted by start, kind and end."""
     text = F.coalesce(text, F.lit(""))
     llr = F.lit(model)
 
     def of(base: Column) -> Column:
-        markov = find_spans(text, TOKEN, 3, score=lambda t: ratio(t, llr) >= threshold)
+        markov = find_spans(text, TOKEN, 3, score=lambda t: is_random(t, llr, threshold))
         new = F.filter(markov, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         return F.struct(base.alias("base"), F.array_sort(F.concat(base, new)).alias("spans"))
 
