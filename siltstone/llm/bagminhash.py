@@ -20,6 +20,7 @@ rows. An empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ GROUP_POINTS = 400_000
 BLOCK_TEXTS, BLOCK_MOST = 256, 1 << 14
 #: Bits of the table that spares other texts the exchange; a fuller one lets more through, never fewer.
 SIEVE_BITS = 27
+#: A text is hot from this count of rows on, or from this share of all rows on if that is more.
+HOT_LEAST, HOT_SHARE = 1000, 1 << 12
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +317,11 @@ def _labelled(docs: DataFrame, n: int, threshold: float, bands: int, rows: int,
     if not met.limit(1).count():
         return found.withColumn("comp", F.col("node"))
     comp = _classes(named.select("node", "text"), signed.select("node", "keys", "sketch"), met, n, threshold, bands * rows, scratch)
-    return found.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # Rows of a text that very many share stay where they are: HOT_SHARE texts at most can be such.
+    hot = [r["node"] for r in found.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > max(HOT_LEAST, signed.count() // HOT_SHARE)).select("node").collect()]
+    is_hot = F.col("node").isin(hot)
+    parts = [found.filter(~is_hot).join(comp, "node", "left"), found.filter(is_hot).join(F.broadcast(comp.filter(is_hot)), "node", "left")] if hot else [found.join(comp, "node", "left")]
+    return reduce(DataFrame.unionByName, parts).withColumn("comp", F.coalesce("comp", "node"))
 
 
 def _classes(texts: DataFrame, sketches: DataFrame, met: DataFrame, n: int, threshold: float, m: int, scratch: Scratch) -> DataFrame:
