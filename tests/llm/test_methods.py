@@ -1,9 +1,13 @@
 """Methods against brute force, exact rules or held-out rows."""
 
 import hashlib
+import importlib
+import json
 import math
+import pathlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -12,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import bagminhash, budget_mix, decontam_cgk, lang_crf, license_sam, lm_score, registry, secret_markov, substring_dedup
+from siltstone.llm import bagminhash, budget_mix, decontam_cgk, lang_crf, license_sam, lm_score, registry, secret_markov, substring_dedup, warc_writer
 from siltstone.llm.common import ALNUM, mix, text_bytes, word_hashes
 
 DATA = "/root/testdata/sf0.001"
@@ -68,6 +72,16 @@ def test_near_duplicate_classes_equal_brute_force(spark, texts):
     assert got == {i: find(i) for i, _ in texts}
 
 
+def test_rows_of_hot_texts_are_labelled_in_place(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "HOT_LEAST", 2)
+    monkeypatch.setattr(bagminhash, "HOT_SHARE", 1 << 40)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base) for i in range(5, 25)] + [(i, base + " end") for i in range(30, 34)] + [(i, f"alone {i} " * 9) for i in range(3)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (5, 24) if i > 4 else (i, 1) for i, _ in rows}
+    assert sorted(r.doc_id for r in bagminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1, 2, 5]
+
+
 def test_bucket_rounds_find_links_that_the_first_hub_misses(spark):
     """A chain of near copies whose ends are unlike each other ends up in one class."""
     words = [f"w{i}" for i in range(400)]
@@ -156,6 +170,17 @@ def test_license_base_and_templates(spark, texts):
     assert row.labels == "mit" and row.score >= 0.6 and row.spans.startswith("mit:1:")
 
 
+def test_license_of_one_template_inside_or_beside_another(spark):
+    nc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"
+    by = "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    apache = "Licensed under the Apache License, Version 2.0. The words go on"
+    rows = [(1, nc), (2, f"{nc}. Some words stand here. {by}"), (3, apache), (4, by)]
+    templates = (*license_sam.TEMPLATES, ("apache-long", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with it"))
+    got = {r.doc_id: r for r in license_sam.licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert got[1].labels == "cc-by-nc" and set(got[2].labels.split(",")) == {"cc-by", "cc-by-nc"} and got[4].labels == "cc-by"
+    assert got[3].labels == "apache" and got[3].score == 1.0 and got[3].spans == "apache:0:8"
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     n, s = 57, 3
@@ -195,6 +220,17 @@ def test_texts_of_three_languages_are_kept_and_random_letters_are_not(spark):
     assert {r.doc_id for r in lang_crf.keep_known(rows, model).collect()} == {1, 3}
 
 
+def test_language_of_rows_with_null_or_equal_ids(spark):
+    """What is learned does not depend on doc_ids, nor on one text that many rows repeat."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    none = docs.withColumn("doc_id", F.when(F.col("lang") != "en", F.col("doc_id")).cast("long"))
+    copy = docs.filter("lang = 'fr'").orderBy("doc_id").limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).select(F.lit(0).cast("long").alias("doc_id"), "text", "lang")
+    for rows in (none, docs.unionByName(copy)):
+        model = lang_crf.train(rows)
+        found = lang_crf.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("rate")).filter("lang IS NOT NULL").collect()
+        assert all(r.rate > 0.95 for r in found), found
+
+
 def test_secret_spans_and_held_out_models(spark, texts):
     got = {r.doc_id: r for r in registry.QUERIES["op4_secret_markov"](spark, DATA).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -213,6 +249,31 @@ def test_secret_spans_and_held_out_models(spark, texts):
     assert [(s["start"], s["kind"], s["end"]) for s in row] == sorted(want)
 
 
+def test_secret_models_on_strings_of_other_makers(spark):
+    """Recall by format and false alarms on names of the standard library, found by scan() in a sentence."""
+    rng = random.Random(5)
+    letters = string.ascii_letters
+    formats = {
+        "base62 20": (letters + string.digits, 20, 0.99),
+        "base62 40": (letters + string.digits, 40, 0.99),
+        "lower case and digits 24": (string.ascii_lowercase + string.digits, 24, 0.97),
+        "base32 26": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 26, 0.97),
+        "letters 24": (letters, 24, 0.95),
+        "base64 40": (letters + string.digits + "+/", 40, 0.99),
+    }
+    rows = [(name, f"so the {''.join(rng.choices(chars, k=n))} is used") for name, (chars, n, _) in formats.items() for _ in range(300)]
+    names = {x for m in ("os", "ast", "socket", "unittest.mock", "xml.dom.minidom", "email.message", "asyncio", "ssl", "tarfile", "logging", "inspect", "typing", "http.client", "codecs", "decimal", "locale") for x in _names(importlib.import_module(m)) if len(x) >= 16}
+    rows += [("names", f"so the {x} is used") for x in sorted(names)]
+    found = secret_markov.secrets(spark.createDataFrame(rows, "doc_id string, text string"), secret_markov.default_model(spark))
+    rates = {r.doc_id: r.rate for r in found.groupBy("doc_id").agg(F.avg((F.size("found.spans") > 0).cast("int")).alias("rate")).collect()}
+    assert all(rates[k] >= least for k, (_, _, least) in formats.items()), rates
+    assert len(names) > 300 and rates["names"] < 0.02, rates
+
+
+def _names(x, depth=1):
+    return set(dir(x)) | {n for k in dir(x) if depth and isinstance(getattr(x, k, None), type) for n in dir(getattr(x, k))}
+
+
 def test_lm_base_is_exact_and_model_beats_it(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r.doc_id: r for r in lm_score.score_texts(docs, top=500).collect()}
@@ -231,7 +292,7 @@ def test_filter_reads_levels_back():
     keys = mix(np.arange(1, 20_001, dtype=np.uint64))
     counts = np.random.default_rng(2).geometric(0.3, len(keys)) ** 2
     order = np.argsort(keys)
-    t = pa.table({"bucket": pa.array([0], pa.int32()), "words": [keys[order].tobytes()], "word_counts": [counts[order].astype(np.uint32).tobytes()], "pairs": pa.array([b""]), "pair_counts": pa.array([b""])})
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "words": [keys[order].tobytes()], "word_counts": [counts[order].astype(np.uint32).tobytes()], "pairs": [lm_score._squeeze(b"")], "pair_counts": [lm_score._squeeze(b"")]})
     model = lm_score.Model(lm_score._table(1 << 20, 100)(t).to_pylist(), 1)
     read = model.estimate(lm_score.salted(keys & lm_score.LOW40, 1), np.zeros(len(keys), np.int64))
     true = (1.5 * 2.0 ** lm_score.level_of(counts) - 1) / 2
@@ -242,7 +303,7 @@ def test_filter_reads_levels_back():
 
 def test_filter_grows_with_its_entries():
     keys = np.sort(mix(np.arange(1, 20_001, dtype=np.uint64)))
-    t = pa.table({"bucket": pa.array([0], pa.int32()), "words": [keys.tobytes()], "word_counts": [np.ones(len(keys), np.uint32).tobytes()], "pairs": pa.array([b""]), "pair_counts": pa.array([b""])})
+    t = pa.table({"bucket": pa.array([0], pa.int32()), "words": [keys.tobytes()], "word_counts": [np.ones(len(keys), np.uint32).tobytes()], "pairs": [lm_score._squeeze(b"")], "pair_counts": [lm_score._squeeze(b"")]})
     model = lm_score.Model(lm_score._table(64, 100)(t).to_pylist(), 1)
     other = model.estimate(lm_score.salted(mix(keys + np.uint64(1 << 40)) & lm_score.LOW40, 1), np.zeros(len(keys), np.int64))
     assert (other > 0).mean() < 0.05
@@ -295,6 +356,60 @@ def test_hot_anchors_meet_by_salt(spark, same, monkeypatch):
     same(registry.QUERIES["op8_substring_dedup"], registry.ORACLES["op8_substring_dedup"])
 
 
+def _shards(folder):
+    return {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in pathlib.Path(folder).glob("part-*")}
+
+
+def test_archives_are_the_same_on_each_run_and_safe_to_write_again(spark, tmp_path):
+    pages = spark.range(0, 40000, 1, 7).select((F.col("id") * 7919 % 40009).alias("page_id"), F.lit("http://a/").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), (F.col("id") % 4).cast("int")).alias("html"))
+    for k, rows in enumerate((pages, pages.repartition(5, "html"))):
+        warc_writer.write_warc(rows, str(tmp_path / str(k)), shards=4, roll=400_000)
+    assert _shards(tmp_path / "0") == _shards(tmp_path / "1") and len(_shards(tmp_path / "0")) > 4
+    sizes = [x["records"] for x in json.loads((tmp_path / "0" / "manifest.json").read_text())]
+    assert sum(sizes) == 40000
+    with pytest.raises(FileExistsError):
+        warc_writer.write_warc(pages.limit(10), str(tmp_path / "0"), shards=2)
+    warc_writer.write_warc(pages.limit(10), str(tmp_path / "0"), shards=2, overwrite=True)
+    (tmp_path / "0" / "part-99999-00000.warc.gz").write_bytes(b"not of this archive")
+    assert warc_writer.read_warc(spark, str(tmp_path / "0")).count() == 10
+
+
+def test_shards_split_one_hot_key(spark, tmp_path):
+    """A third of all rows under one key, and a third without one, are dealt to several shards, in order."""
+    pages = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("x"), 200), F.col("id").cast("string")).alias("html"))
+    manifest = warc_writer.write_warc(pages, str(tmp_path / "w"), shards=6)
+    assert len(manifest) == 6 and max(x["records"] for x in manifest) < 700
+    rows = warc_writer.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == 3000 and sum(r.page_id is None for r in rows) == 1000 and sum(r.page_id == 5 for r in rows) == 1000
+    slim = spark.createDataFrame([(k, f"{k:064x}", 10) for k in [-(1 << 63), -5, -1, 0, 1, 2, (1 << 63) - 1] * 3], "key long, digest string, weight long")
+    first = warc_writer.bounds(slim, 7)
+    order = {r["key"]: r["s"] for r in slim.withColumn("s", warc_writer.shard_of(F.col("key"), F.col("digest"), first)).collect()}
+    assert [order[k] for k in sorted(order)] == list(range(7))
+
+
+def test_pipeline_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """What the stages leave of rows with nulls, empty and very long texts, repeated rows and columns of their own names, and of no rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    clash = [F.lit("s").alias(c) for c in ("size", "node", "comp", "own_slice", "c0", "rank", "bucket")]
+    long = docs.filter("lang = 'en'").agg(F.concat_ws(" ", F.collect_list("text")).alias("t")).first()["t"]
+    odd = [(None, "en", None), (900_001, "en", ""), (900_002, None, None), (None, None, docs.filter("lang = 'en' AND n_chars > 2000").orderBy("doc_id").first()["text"] + " own end"), (900_003, "en", long), (900_004, "en", "!!! ???")]
+    more = spark.createDataFrame([(i, t, lang, None, None) for i, lang, t in odd], docs.schema)
+    rows = docs.unionByName(docs.filter("doc_id < 50")).unionByName(more).select("*", *clash)
+    for name, table in (("some", rows), ("none", rows.limit(0))):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder))
+        assert len(set(got.columns)) == len(got.columns) and set(rows.columns) <= set(got.columns)
+        found = [r.doc_id for r in got.collect()]
+        if name == "none":
+            assert not found
+        else:
+            assert len(found) > 30 and all(i not in found for i in (900_001, 900_002, 900_004)) and all(found.count(i) <= 1 for i in range(50))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
