@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -47,12 +46,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does only after the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 class Scratch:
     """Tables written to the shared folder in an operator's course: compact, read back with known sizes, and dropped when done with."""
 

@@ -38,6 +38,8 @@ FLUSH = 4_000_000
 MAX_LEVEL = 48
 END = np.uint64(0xD1B54A32D192ED03)
 LOW40 = np.uint64((1 << 40) - 1)
+#: Pairs are told apart by their bucket and these bits: buckets are of one size in any corpus, so a few in a million share both.
+LOW32 = np.uint64((1 << 32) - 1)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +71,42 @@ def _total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.add.reduceat(counts[order], first)
 
 
-def _pack40(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray((x & LOW40).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _pack32(x: np.ndarray) -> bytes:
+    return (x & LOW32).astype("<u4").tobytes()
 
 
-def _unpack40(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :5] = part
-    return out.view("<u8").reshape(-1).astype(np.uint64)
+def _unpack32(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(np.uint64)
+
+
+def _raw(x: np.ndarray) -> bytes:
+    return x.tobytes()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones, and so on, which exchanges compress better."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _unplanes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """The differences of numbers that mostly rise; they wrap round."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _unsteps(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, kind), dtype=kind)
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
 
 
 BLOBS = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
@@ -87,25 +116,26 @@ def _counter(n: int):
     def blobs(parts: list[np.ndarray], rows: int) -> pa.RecordBatch:
         t = np.concatenate(parts)
         w, wc = np.unique(t, return_counts=True)
-        p, pn = np.unique(np.concatenate([pairs(x) for x in parts]), return_counts=True)
+        p = np.concatenate([pairs(x) for x in parts])
+        p, pn = np.unique((bucket_of(p, n).astype(np.uint64) << np.uint64(32)) | (p & LOW32), return_counts=True)
         over = np.flatnonzero(pn > 255)  # counts are bytes; more take more entries
         reps = np.ones(len(p), np.int64)
         reps[over] = -(-pn[over] // 255)
         each = np.repeat(np.arange(len(p)), reps)
         left = np.minimum(255, pn[each] - 255 * (np.arange(len(each)) - np.repeat(np.cumsum(reps) - reps, reps)))
         p, pn = p[each], left.astype(np.uint8)
-        wb, pb = bucket_of(w, n), bucket_of(p, n)
-        wo, po = np.argsort(wb, kind="stable"), np.argsort(pb, kind="stable")
-        w, wc, p, pn = w[wo], wc[wo].astype(np.uint32), p[po], pn[po]
-        we, pe = np.searchsorted(wb[wo], np.arange(n + 1)), np.searchsorted(pb[po], np.arange(n + 1))
+        wb = bucket_of(w, n)
+        wo = np.argsort(wb, kind="stable")
+        w, wc = w[wo], wc[wo].astype(np.uint32)
+        we, pe = np.searchsorted(wb[wo], np.arange(n + 1)), np.searchsorted(p >> np.uint64(32), np.arange(n + 1).astype(np.uint64))
         cut = lambda i, e, x: x[e[i] : e[i + 1]]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(range(n), pa.int32()),
                 pa.array([cut(i, we, w).tobytes() for i in range(n)], pa.binary()),
                 pa.array([cut(i, we, wc).tobytes() for i in range(n)], pa.binary()),
-                pa.array([_pack40(cut(i, pe, p)) for i in range(n)], pa.binary()),
-                pa.array([cut(i, pe, pn).tobytes() for i in range(n)], pa.binary()),
+                pa.array([_squeeze(_steps((cut(i, pe, p) & LOW32).astype(np.uint32))) for i in range(n)], pa.binary()),
+                pa.array([_squeeze(cut(i, pe, pn).tobytes()) for i in range(n)], pa.binary()),
             ],
             ["bucket", "words", "word_counts", "pairs", "pair_counts"],
         )
@@ -187,7 +217,8 @@ def _table(most: int, top: int):
         bucket = t.column("bucket")[0].as_py()
         join = lambda c, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)])
         w, wc = _total(join("words", np.uint64), join("word_counts", np.uint32).astype(np.int64))
-        p, pn = _total(np.concatenate([_unpack40(x.as_py()) for x in t.column("pairs")]), join("pair_counts", np.uint8).astype(np.int64))
+        p, pn = (np.concatenate([np.zeros(0, kind), *[read_(_unsqueeze(x.as_py())) for x in t.column(c)]]) for c, kind, read_ in (("pairs", np.uint32, lambda raw: _unsteps(raw, np.uint32)), ("pair_counts", np.uint8, lambda raw: np.frombuffer(raw, np.uint8))))
+        p, pn = _total(p.astype(np.uint64), pn.astype(np.int64))
         keys = np.concatenate([salted(w & LOW40, 1), salted(p, 2)])
         levels = level_of(np.concatenate([wc, pn]))
         width = max(64, -(-BITS * int(levels.sum()) // 64) * 64)
@@ -255,8 +286,8 @@ class Frequent:
         return np.log10(middle(one) + self.mu)
 
 
-# What travels: a group's documents (docs); rare words, with the pairs that they end (words, pairs of 8 bytes, rows); pairs
-# (pairs of 5 bytes, the levels of their words, rows); pairs from a rare word's bucket (also counts, and rows as uids, uid
+# What travels: a group's documents (docs); rare words, with the pairs that they end (words, pairs as buckets and then keys,
+# rows); pairs (keys of 4 bytes, the levels of their words, rows); pairs from a rare word's bucket (also counts, and rows as uids, uid
 # being null); what was read (ones, twos, rows and perhaps counts). A uid is a group's number times 2^16, plus the row.
 MESSAGES = pa.schema([("bucket", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in ("docs", "words", "pairs", "rows", "counts", "ones", "twos", "segment")]])
 MESSAGE = "bucket int, uid long, docs binary, words binary, pairs binary, rows binary, counts binary, ones binary, twos binary, segment binary"
@@ -285,28 +316,6 @@ def _split(by: np.ndarray, n: int, **columns: tuple[np.ndarray, object]) -> tupl
     return full, out
 
 
-def _raw(x: np.ndarray) -> bytes:
-    return x.tobytes()
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """All lowest bytes, then all second ones, and so on, which exchanges compress better."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _unplanes(raw: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
-
-
-def _steps(x: np.ndarray) -> bytes:
-    """The differences of numbers that mostly rise; they wrap round."""
-    return _planes(np.diff(x, prepend=x.dtype.type(0)))
-
-
-def _unsteps(raw: bytes, kind) -> np.ndarray:
-    return np.cumsum(_unplanes(raw, kind), dtype=kind)
-
-
 def _scorer(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Frequent = shared.value
@@ -321,7 +330,7 @@ def _scorer(shared):
                 uid = group * GROUP_ROWS
                 row = np.repeat(np.arange(j - i, dtype=np.uint16), np.diff(toff))
                 hit, c, one = Frequent.find(model.words, t)
-                hit_pair, _, two = Frequent.find(model.pairs, (p & LOW40) | (pb.astype(np.uint64) << np.uint64(40)))
+                hit_pair, _, two = Frequent.find(model.pairs, (p & LOW32) | (pb.astype(np.uint64) << np.uint64(40)))
                 hit_pair &= hit
                 logs = np.where(hit_pair, model.after(one, two), 0.0) - np.where(hit, model.before(one), 0.0)
                 docs = pa.RecordBatch.from_arrays(
@@ -340,10 +349,11 @@ def _scorer(shared):
                     writer.write_batch(docs)
                 yield _messages(1, bucket=home(np.array([uid]), n), uid=[uid], docs=[sink.getvalue().to_pybytes()])
                 rare = np.flatnonzero(~hit)
-                b, made = _split(bucket_of(t[rare], n), n, words=(t[rare], _raw), pairs=(p[rare], _raw), rows=(row[rare], _steps))
+                b, made = _split(bucket_of(t[rare], n), n, words=(t[rare], _raw), pairs=(p[rare], _raw), buckets=(pb[rare].astype(np.int32), _raw), rows=(row[rare], _steps))
+                made["pairs"] = [_planes(np.frombuffer(b_, np.int32)) + _pack32(np.frombuffer(p_, np.uint64)) for b_, p_ in zip(made.pop("buckets"), made["pairs"], strict=True)]
                 yield _messages(len(b), bucket=b, uid=np.full(len(b), uid), **made)
                 rest = np.flatnonzero(hit & ~hit_pair)
-                b, made = _split(pb[rest], n, pairs=(p[rest], _pack40), ones=(one[rest], _raw), rows=(row[rest], _steps))
+                b, made = _split(pb[rest], n, pairs=(p[rest], _pack32), ones=(one[rest], _raw), rows=(row[rest], _steps))
                 yield _messages(len(b), bucket=b, uid=np.full(len(b), uid), **made)
                 group += 1
 
@@ -376,16 +386,18 @@ def _reader(n: int):
             w = cells(tables, "words", np.uint64)
             c = cells(tables, "counts", np.uint8)
             c = c.view(f"u{len(c) // len(w)}").astype(np.int64) if len(w) else c
-            h, p, u = cells(rare, "words", np.uint64), cells(rare, "pairs", np.uint64), uids(rare)
+            h, u = cells(rare, "words", np.uint64), uids(rare)
+            halves = [(x[: len(x) // 2], x[len(x) // 2 :]) for x in rare.column("pairs").to_pylist()]
+            pb, p = np.concatenate([_unplanes(x, np.int32) for x, _ in halves]), np.concatenate([_unpack32(x) for _, x in halves])
             at = np.minimum(np.searchsorted(w, h), max(len(w) - 1, 0))
             count = np.where(w[at] == h, c[at], 0) if len(w) else np.zeros(len(h), np.int64)
-            b, made = _split(bucket_of(p, n), n, pairs=(p, _pack40), ones=(here(salted(h & LOW40, 1)), _raw), rows=(u, _steps), counts=(count, _planes))
+            b, made = _split(pb, n, pairs=(p, _pack32), ones=(here(salted(h & LOW40, 1)), _raw), rows=(u, _steps), counts=(count, _planes))
             out.append(pa.Table.from_batches([_messages(len(b), bucket=b, **made)]))
         asked = t.filter(pc.and_not(has("pairs"), has("words")))
         for part in (asked.filter(pc.is_null(asked.column("counts"))), asked.filter(pc.is_valid(asked.column("counts")))):
             if not len(part):
                 continue
-            p, one, u = np.concatenate([_unpack40(x) for x in part.column("pairs").to_pylist()]), cells(part, "ones", np.uint8), uids(part)
+            p, one, u = np.concatenate([_unpack32(x) for x in part.column("pairs").to_pylist()]), cells(part, "ones", np.uint8), uids(part)
             order = np.argsort(u, kind="stable")
             p, one, u = p[order], one[order], u[order]
             groups, by = np.unique(u >> 16, return_inverse=True)
