@@ -333,8 +333,9 @@ def _classes(texts: DataFrame, sketches: DataFrame, met: DataFrame, n: int, thre
     # A text that meets many others, as the original of many copies does, is the hub of its buckets.
     some = scratch.put(met.groupBy("node").agg(F.sum("members").alias("degree")))
     # The only exchange of texts and sketches: those that share a bucket with another, each once.
-    texts = scratch.put(_sifted(texts, some).join(some.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    sketches = scratch.put(sketches.join(some, "node").groupBy("node").agg(F.first("degree").alias("degree"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+    # Copies of a text are one row of each task before they move.
+    texts = scratch.put(_sifted(texts, some).groupBy("node").agg(F.first("text").alias("text")).join(some.select("node"), "node", "left_semi"))
+    sketches = scratch.put(sketches.groupBy("node").agg(F.min("keys").alias("keys"), F.min("sketch").alias("sketch")).join(some, "node"))
     members = met.join(sketches, "node")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
