@@ -135,8 +135,8 @@ def topic(c: Column) -> Column:
     return F.coalesce(first_match(F.lower(F.substring(text(c), 1, 500)), TOPICS), F.lit("general"))
 
 
-def route(query: Column) -> Column:
-    return F.coalesce(first_match(F.lower(text(query)), INTENTS), F.lit("general_query"))
+def route(query: Column, intents: Rules = INTENTS) -> Column:
+    return F.coalesce(first_match(F.lower(text(query)), intents), F.lit("general_query"))
 
 
 def matched_terms(query: Column, intent: Column) -> Column:
