@@ -44,3 +44,5 @@ def test_measures_by_intent(equals_sql, name):
     assert "the_query" in str(equals_sql(name, **corpus(TEXTS)))
 
 
+def test_fallback_by_intent(equals_sql):
+    assert "the_query" in str(equals_sql("ret_bm25_filtered_fallback", **corpus(TEXTS)))
