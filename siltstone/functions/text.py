@@ -168,19 +168,21 @@ def _department_alias(x: Column, aliases: Mapping[str, Sequence[str]]) -> Column
     return out if out is not None else F.lit(None).cast("string")
 
 
-def _departments(values: Column, aliases: Mapping[str, Sequence[str]], least: float = 88.0) -> Column:
-    """The names of an array of texts: by alias, else by the alias most like the text. Texts too long to be like one stay out of Python."""
+def _departments(values: Column, aliases: Mapping[str, Sequence[str]], least: float | None = 88.0) -> Column:
+    """The names of an array of texts: by alias, else, unless least is None, by the alias most like the text. Texts too long to be like one stay out of Python."""
     names = {w: name for name, words in aliases.items() for w in words}
     longest = 8 * max(map(len, names), default=0)
     words = F.transform(values, _department_words)
     found = F.transform(words, lambda x: _department_alias(x, aliases))
+    if least is None:
+        return found
     asked = F.zip_with(words, found, lambda x, f: F.when(f.isNull() & (F.length(F.trim(x)) <= longest), F.trim(x)))
     return F.zip_with(found, fuzzy.closest(names, least)(asked), lambda f, g: F.coalesce(f, g))
 
 
-def normalize_department(c: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
-    """The first name of which an alias stands in the text as a word, after & to and, punctuation, titles and single letters went; else that of an alias at least 88 per cent alike."""
-    return F.get(_departments(F.array(c), aliases), F.lit(0))
+def normalize_department(c: Column, aliases: Mapping[str, Sequence[str]], least: float | None = 88.0) -> Column:
+    """The first name of which an alias stands in the text as a word, after & to and, punctuation, titles and single letters went; else that of an alias at least so many per cent alike, if any."""
+    return F.get(_departments(F.array(c), aliases, least), F.lit(0))
 
 
 def infer_department(columns: Sequence[Column], headings: Column, aliases: Mapping[str, Sequence[str]]) -> Column:

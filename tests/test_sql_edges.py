@@ -46,3 +46,8 @@ def test_measures_by_intent(equals_sql, name):
 
 def test_fallback_by_intent(equals_sql):
     assert "the_query" in str(equals_sql("ret_bm25_filtered_fallback", **corpus(TEXTS)))
+
+
+def test_departments_by_aliases_that_stand_in_the_text(equals_sql):
+    texts = ["Phisics", "physics", "histery", "The History & Letters", "dr. physics", "de  la x", "physics a", "", None, "lettre"]
+    equals_sql("txt_department", documents=([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
