@@ -75,3 +75,11 @@ BM25 = ("ret_bm25_topk", "ret_bm25_all", "ret_matched_terms", "ret_explanation",
 def test_bm25_with_ties_and_texts_that_share_no_term(equals_sql, name):
     """Copies tie by score, and texts of other words are ranked by priority and section alone."""
     equals_sql(name, **corpus(TEXTS[:6] * 3 + ["zz yy"] * 9 + ["aa"] * 5 + [""]))
+
+
+def test_shares_that_stand_on_a_half(equals_sql):
+    """3 of 20000 relevant documents are .00015, which as a double is less."""
+    tables = corpus([*TEXTS, "zq", "zq", "zq"])
+    relevant = [(i, 1, 0) for i in range(len(TEXTS), len(TEXTS) + 20000)]
+    tables |= {"labels": (relevant, tables["labels"][1]), "benchmark": ([(1, "zq")], tables["benchmark"][1])}
+    assert "0.0001" in str(equals_sql("agg_retrieval_metrics", **tables))
